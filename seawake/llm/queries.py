@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .ngram_join import near_duplicate_classes
+from .quality import Resampler
 from .repeats import remove_repeats
 
 
@@ -12,6 +13,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Resampler(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).verdicts()
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(_documents(spark, sf_dir), k=3, num=90, den=100)
 
@@ -21,6 +26,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality_resampling": op2_quality_resampling,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op8_substring_dedup": op8_substring_dedup,
 }
