@@ -28,14 +28,17 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u != v").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """edges(a, b): long. Returns (node, comp), comp the least node reachable, for every node that has an edge."""
+def components(edges: DataFrame, files: int | None = None) -> DataFrame:
+    """edges(a, b): long. Returns (node, comp), comp the least node reachable, for every node that has an edge.
+
+    files: in how many files to write the edges that are left, if that is known to do.
+    """
     now = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now, before = written(now, "edges"), None
+    now, before = written(now, "edges", files), None
     while True:
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(sums) == before or not sums[0]:
             break
         before = tuple(sums)
-        now = written(_star(_star(now, True), False), "edges")
+        now = written(_star(_star(now, True), False), "edges", files)
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(now.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()

@@ -38,7 +38,7 @@ from pyspark.sql import Window
 
 from . import kernels as K
 from .components import components
-from .storage import small_batches, written
+from .storage import file_count, small_batches, written
 from .tables import bucketed
 
 TABLE_BITS = 19
@@ -207,6 +207,7 @@ class JaccardJoin:
             if not clash.take(1):
                 break
         self.seed = seed
+        self.files = file_count(self.spark, self.rows.count())
         table = np.zeros(1 << TABLE_BITS, np.int64)  # of fixed size, however many documents there are
         counts = rows.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("count").alias("count")).toArrow()
         table[counts["bucket"].to_numpy()] = counts["count"].to_numpy()
@@ -239,7 +240,7 @@ class JaccardJoin:
         if comps is not None:
             lists = lists.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
             apart = lists.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("token")
-            lists = written(lists.join(apart, "token", "left_semi"), "apart")
+            lists = written(lists.join(apart, "token", "left_semi"), "apart", self.files)
         else:
             lists = lists.withColumn("comp", F.col("node"))
         if most == 1:
@@ -279,16 +280,16 @@ class JaccardJoin:
         self._lists()
         edges = comps = done = None
         for most in ROUNDS:
-            pairs = written(self._candidates(most, comps, done), "candidates")
+            pairs = written(self._candidates(most, comps, done), "candidates", self.files)
             if not pairs.take(1):
                 if comps is not None:
                     break
                 comps = self.spark.createDataFrame([], "node long, comp long")
                 continue
-            links = written(self._verify(self._multi_matched(pairs)), "links")
-            done = pairs if done is None else written(done.select("a", "b", "need").union(pairs), "done")
+            links = written(self._verify(self._multi_matched(pairs)), "links", self.files)
+            done = pairs if done is None else written(done.select("a", "b", "need").union(pairs), "done", self.files)
             edges = links if edges is None else edges.union(links)
-            comps = written(components(edges), "components")
+            comps = written(components(edges, self.files), "components", self.files)
         return comps
 
     def classes(self) -> DataFrame:

@@ -33,9 +33,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def file_count(spark: SparkSession, rows: int, a_file: int = 50_000) -> int:
+    """Files for a table of about so many small rows; at most one for each shuffle partition."""
+    return max(2, min(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // a_file))
+
+
+def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: its lineage ends there."""
     spark = df.sparkSession
+    if files:
+        df = df.repartition(files)
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
