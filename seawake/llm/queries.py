@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .fingerprints import edit_fingerprints
+from .mixing import mix_report
 from .ngram_join import near_duplicate_classes
 from .quality import Resampler
 from .repeats import remove_repeats
@@ -21,6 +23,14 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(_documents(spark, sf_dir), k=3, num=90, den=100)
 
 
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprints(_documents(spark, sf_dir))
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(_documents(spark, sf_dir))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_documents(spark, sf_dir), window=35)
 
@@ -28,6 +38,8 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_quality_resampling": op2_quality_resampling,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_order_minhash": op5_order_minhash,
+    "op10_source_mixing": op10_source_mixing,
     "op8_substring_dedup": op8_substring_dedup,
 }
 
