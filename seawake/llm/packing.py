@@ -36,7 +36,7 @@ from .storage import small_batches, written
 WINDOW, LEAST, END_ID = 2048, 128, 1
 MOST_QUEUES = 4096
 #: Words whose ids a worker remembers.
-MOST_WORDS = 300_000
+MOST_WORDS = 500_000
 
 _tokenizers: dict[str, tuple] = {}
 
@@ -54,11 +54,13 @@ def encode(texts: list[bytes], path: str) -> tuple[list[bytes], str]:
     """Ids of each text, as bytes of the dtype that is also returned.
 
     The tokenizer drops white space and never joins across it, so ids are
-    remembered by word. A text with the string of a special token goes to the
-    tokenizer whole.
+    remembered by lower-case word. A text with the string of a special token goes to
+    the tokenizer whole.
     """
     tokenizer, known, special, kind = _tokenizer(path)
-    split = [t.split() for t in texts]
+    lower = [t.lower() for t in texts]
+    whole = [any(s in t for s in special) for t in lower]
+    split = [[] if w else t.split() for t, w in zip(lower, whole, strict=True)]
     new = list(set(itertools.chain.from_iterable(split)) - known.keys())
     if len(known) + len(new) > MOST_WORDS:
         known.clear()
@@ -69,8 +71,8 @@ def encode(texts: list[bytes], path: str) -> tuple[list[bytes], str]:
             known[word] = np.array(e.ids, kind).tobytes()
     get = known.__getitem__
     out = []
-    for text, words in zip(texts, split, strict=True):
-        if any(s in text for s in special):
+    for text, words, by_tokenizer in zip(texts, split, whole, strict=True):
+        if by_tokenizer:
             out.append(np.array(tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, kind).tobytes())
         else:
             out.append(b"".join(map(get, words)))

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .fingerprints import edit_fingerprints
 from .mixing import mix_report
 from .ngram_join import near_duplicate_classes
+from .packing import pack
+from .pii import pseudonymize_documents
 from .quality import Resampler
 from .repeats import remove_repeats
 
@@ -31,16 +33,26 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(_documents(spark, sf_dir))
 
 
+def op7_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_documents(spark, sf_dir))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_documents(spark, sf_dir), window=35)
 
 
+def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymize_documents(_documents(spark, sf_dir).select("doc_id", "text"), report=True)
+
+
 QUERIES = {
     "op2_quality_resampling": op2_quality_resampling,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_order_minhash": op5_order_minhash,
     "op10_source_mixing": op10_source_mixing,
+    "op7_mixture_packing": op7_mixture_packing,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_feistel_pseudonyms": op9_feistel_pseudonyms,
 }
 
 ORACLE_SQL: dict[str, str] = {}
