@@ -214,11 +214,11 @@ _SECRET = re.compile(r"(?i:token|secret|password|passwd|api[_-]?key|access[_-]?k
 #: What begins with a digit, a plus or a country code is looked at only where a digit stands.
 _NUMBER = re.compile(
     r"(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
-    r"|(?P<phone>\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\d)|(?<![\w+])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))"
+    r"|(?P<phone>\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\d)|(?<![\w+])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))"
     r"|(?<!\d)(?P<date>(?P<a>\d{4}|\d{1,2})(?P<mark>[-/.])(?P<b>\d{1,2})(?P=mark)(?P<c>\d{4}|\d{1,2}))(?![\d]|[./-]\d)"
     r"|(?<![\d.])(?P<ip>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?!\d|\.\d)"
     r"|(?<![\d-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\d-])"
-    r"|(?<!\d)(?P<card>\d(?:[ -]?\d){12,18})(?!\d)"
+    r"|(?<!\d)(?P<card>\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}|\d{4}(?P<gap2>[ -])\d{6}(?P=gap2)\d{4,5})(?!\d)"
 )
 _DIGIT = re.compile(r"\d")
 _MAKERS: dict[str, Callable] = {"iban": _iban, "phone": _phone, "date": _date, "ip": _ip, "ssn": _ssn, "card": _card}
@@ -250,11 +250,13 @@ def pseudonymize(text: str, key: bytes = KEY) -> tuple[str, dict[str, int]]:
                 after.append((part, free))
                 continue
             at, one = 0, put(kind, make)
-            for m in pattern.finditer(part):
+            m = pattern.search(part)
+            while m:
                 new = one(m)
                 if new != m[0]:
                     after += [(part[at : m.start()], True), (new, False)]
                     at = m.end()
+                m = pattern.search(part, m.end() if new != m[0] else m.start() + 1)
             after.append((part[at:], True))
         parts = after
     return "".join(p for p, _ in parts), counts
