@@ -17,6 +17,9 @@ Equal sets are one node from the start.
   of other components only; the last round takes every document as a pivot, so
   that any pair that is still apart has been compared. Groups that have become
   one component drop out.
+* A pair is dropped early only if it cannot link: by its sizes, or because the
+  parity sketches of its sets (256 bits; a shingle flips one) differ in more bits
+  than the sets may in shingles.
 * Verification compares whole shingle sets made from whole texts.
 
 Null text counts as empty. Repeated rows are equal sets and share a component.
@@ -43,8 +46,9 @@ from .tables import bucketed
 
 TABLE_BITS = 19
 #: Pivots of a group in each round; None: all its members.
-ROUNDS = (1, 4, 32, None)
+ROUNDS = (1, 4, None)
 MOST_MATCHES = 4
+SKETCH = ("s0", "s1", "s2", "s3")
 
 
 def shingle_sets(words: K.Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,6 +122,12 @@ def prefix_of(docs: np.ndarray, h: np.ndarray, n: np.ndarray, table: np.ndarray,
     return h, extra > 0, begin, size, best, central
 
 
+def parity_sketches(docs: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """int64 matrix (document, 4): every shingle flips one of 256 bits."""
+    flips = np.bincount(docs * 256 + (h & K.U64(255)).astype(np.int64), minlength=n * 256).reshape(n, 256) & 1
+    return np.packbits(flips.astype(bool), axis=1, bitorder="little").view(np.int64)
+
+
 def _prefixed(k: int, num: int, den: int, seed: int, shared) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(shared.value, np.int64)
@@ -126,6 +136,7 @@ def _prefixed(k: int, num: int, den: int, seed: int, shared) -> Callable:
             for w in K.hashed_words(batch["text"], lower=True):
                 docs, h, n = shingle_sets(w, k)
                 names = K.signed(set_names(docs, h, len(n), seed)[0])
+                sketch = parity_sketches(docs, h, len(n))
                 h, hot, begin, size, best, central = prefix_of(docs, h, n, table, num, den)
                 new = []
                 for i, name in enumerate(names.tolist()):
@@ -138,8 +149,8 @@ def _prefixed(k: int, num: int, den: int, seed: int, shared) -> Callable:
                 at = np.repeat(begin[new] - np.concatenate([[0], np.cumsum(size[new])[:-1]]), size[new]) + np.arange(size[new].sum())
                 offsets = pa.array(np.concatenate([[0], np.cumsum(size[new])]), pa.int32())
                 yield pa.record_batch(
-                    [pa.array(names[new]), pa.array(n[new], pa.int32()), pa.array(best[new], pa.int32()), pa.array((central[new] * 1000).astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(K.signed(h[at]))), pa.ListArray.from_arrays(offsets, pa.array(hot[at]))],
-                    names=["node", "n", "l", "central", "prefix", "hot"],
+                    [pa.array(names[new]), pa.array(n[new], pa.int32()), pa.array(best[new], pa.int32()), pa.array((central[new] * 1000).astype(np.int32)), *(pa.array(sketch[new, i]) for i in range(4)), pa.ListArray.from_arrays(offsets, pa.array(K.signed(h[at]))), pa.ListArray.from_arrays(offsets, pa.array(hot[at]))],
+                    names=["node", "n", "l", "central", *SKETCH, "prefix", "hot"],
                 )
 
     return run
@@ -215,13 +226,15 @@ class JaccardJoin:
 
     def _lists(self) -> None:
         """self.lists(token, node, central): prefix shingles that two nodes or more may have."""
-        self.nodes = written(self.docs.select("text").mapInArrow(_prefixed(self.k, self.num, self.den, self.seed, self.table), "node long, n int, l int, central int, prefix array<long>, hot array<boolean>"), "prefixes")
-        rows = self.nodes.select("node", "central", F.explode(F.arrays_zip("prefix", "hot")).alias("x")).select(F.col("x.prefix").alias("token"), "node", "central", F.when(F.col("x.hot"), F.pmod(F.hash("node"), F.lit(64)) + 1).otherwise(0).alias("salt"))
+        self.nodes = written(self.docs.select("text").mapInArrow(_prefixed(self.k, self.num, self.den, self.seed, self.table), "node long, n int, l int, central int, s0 long, s1 long, s2 long, s3 long, prefix array<long>, hot array<boolean>"), "prefixes")
+        heads = self.nodes.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "l", "central", *SKETCH)))
+        rows = self.nodes.select("node", F.explode(F.arrays_zip("prefix", "hot")).alias("x")).select(F.col("x.prefix").alias("token"), "node", F.when(F.col("x.hot"), F.pmod(F.hash("node"), F.lit(64)) + 1).otherwise(0).alias("salt"))
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         rows = rows.repartition(n, "token", "salt").dropDuplicates(["token", "salt", "node"])
         # A shingle that the table calls rare has a short list. The others are dealt out and stay in any case.
         several = F.count("*").over(Window.partitionBy("token", "salt"))
-        self.lists = written(rows.withColumn("several", several).where("salt > 0 OR several > 1").select("token", "node", "central"), "lists")
+        kept = rows.withColumn("several", several).where("salt > 0 OR several > 1").select("token", "node")
+        self.lists = written(kept.join(heads, "node"), "lists")
         texts = self.docs.select("text").mapInArrow(_texts(self.k, self.seed), "node long, text string")
         active = self.lists.select("node").distinct()
         self.texts = bucketed(texts.join(active, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "node", "texts")
@@ -236,6 +249,7 @@ class JaccardJoin:
         return both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(self.k, self.num, self.den), "a long, b long")
 
     def _candidates(self, most: int | None, comps: DataFrame | None, done: DataFrame | None) -> DataFrame:
+        """a, b, need: pairs of a pivot and another node under a common shingle that may link and are not linked yet."""
         lists = self.lists
         if comps is not None:
             lists = lists.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -243,27 +257,27 @@ class JaccardJoin:
             lists = written(lists.join(apart, "token", "left_semi"), "apart", self.files)
         else:
             lists = lists.withColumn("comp", F.col("node"))
+        head = ("node", "comp", "n", "l", "central", *SKETCH)
         if most == 1:
-            pivots = lists.groupBy("token").agg(F.max_by(F.struct("node", "comp"), F.struct("central", "node")).alias("p")).select("token", F.col("p.node").alias("a"), F.col("p.comp").alias("comp_a"))
+            pivots = lists.groupBy("token").agg(F.max_by(F.struct(*head), F.struct("central", "node")).alias("p")).select("token", "p.*")
+        elif most:
+            place = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("central"), F.desc("node")))
+            pivots = lists.withColumn("place", place).where(F.col("place") <= most).select("token", *head)
         else:
-            pivots = lists.select("token", F.col("node").alias("a"), F.col("comp").alias("comp_a"), "central")
-            if most:
-                place = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("central"), F.desc("a")))
-                pivots = pivots.withColumn("place", place).where(F.col("place") <= most)
-            pivots = pivots.drop("central", "place")
-        met = lists.select("token", F.col("node").alias("b"), "comp").join(pivots, "token").where("comp != comp_a AND a != b" + ("" if most else " AND a < b"))
-        pairs = met.groupBy("a", "b").agg(F.count("*").alias("met"))
+            pivots = lists.select("token", *head)
+        pivots = pivots.select("token", *(F.col(c).alias(f"{c}_a") for c in head))
+        rest = self.den - self.num
+        flipped = " + ".join(f"bit_count({c} ^ {c}_a)" for c in SKETCH)
+        may = f"comp != comp_a AND {self.den} * least(n, n_a) >= {self.num} * greatest(n, n_a) AND ({flipped}) * {self.den + self.num} <= {rest} * (n + n_a)" + ("" if most else " AND node_a < node")
+        met = lists.hint("merge").join(pivots.hint("merge"), (lists.token == pivots.token) & F.expr(may))
+        pairs = met.groupBy(F.col("node_a").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("met"), F.first(F.least("l", "l_a")).alias("need"))
         if comps is None:  # at first one partner each: that with which it shares most
-            pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("met", "a")).alias("a")).select("a", "b")
-        else:
-            pairs = pairs.select("a", "b")
+            pairs = pairs.groupBy("b").agg(F.max_by(F.struct("a", "need"), F.struct("met", "a")).alias("p")).select("p.a", "b", "p.need")
+        pairs = pairs.select("a", "b", "need")
         if done is not None:
             same = done.select("a", "b").union(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
             pairs = pairs.join(same, ["a", "b"], "left_anti")
-        heads = self.nodes.groupBy("node").agg(F.first("n").alias("n"), F.first("l").alias("l"))
-        ha, hb = (heads.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("l").alias(f"l_{x}")) for x in "ab")
-        sized = pairs.join(hb, "b").join(ha, "a").where(f"{self.den} * least(n_a, n_b) >= {self.num} * greatest(n_a, n_b)")
-        return sized.withColumn("need", F.least("l_a", "l_b")).select("a", "b", "need")
+        return pairs
 
     def _multi_matched(self, pairs: DataFrame) -> DataFrame:
         """Of pairs that need more than one shared prefix shingle, those that have them."""
