@@ -11,12 +11,17 @@ from .packing import pack
 from .pii import pseudonymize_documents
 from .quality import Resampler
 from .repeats import remove_repeats
+from .warc import round_trip
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op2_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Resampler(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).verdicts()
 
@@ -46,6 +51,7 @@ def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_quality_resampling": op2_quality_resampling,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_order_minhash": op5_order_minhash,
@@ -55,4 +61,39 @@ QUERIES = {
     "op9_feistel_pseudonyms": op9_feistel_pseudonyms,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc": """
+        WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS digest, CAST(strlen(coalesce(html, '')) AS BIGINT) AS bytes FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM p)
+        SELECT page_id, bytes AS payload_bytes, digest AS payload_digest,
+               CASE WHEN bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN bytes >= 100 AND page_id <> first THEN first END AS refers_to
+        FROM f
+    """,
+    "op10_source_mixing": """
+        WITH RECURSIVE d AS (
+            SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')) AS BIGINT) AS size FROM documents
+        ), s AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS no FROM d GROUP BY source
+        ), w AS (
+            SELECT *, 1 + (no - 1) % 3 AS weight, 3.0e0 * source_size AS cap FROM s
+        ), o AS (
+            SELECT *, row_number() OVER (ORDER BY cap / weight, no) AS rank, sum(cap) OVER (ORDER BY cap / weight, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS capped,
+                   sum(weight) OVER (ORDER BY cap / weight, no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM w
+        ), l AS (
+            SELECT ((SELECT sum(source_size) FROM s) - coalesce(capped, 0)) / weights AS level FROM o
+            WHERE cap > ((SELECT sum(source_size) FROM s) - coalesce(capped, 0)) / weights * weight ORDER BY rank LIMIT 1
+        ), t AS (
+            SELECT w.source, w.source_size, least(cap, coalesce((SELECT level FROM l) * weight, cap)) AS target FROM w
+        ), p AS (
+            SELECT d.doc_id, d.size, t.source_size, t.target, CAST(round_even(t.target, 0) AS BIGINT) AS wanted,
+                   coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('mix-' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), d.doc_id, d.size
+                                              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+        )
+        SELECT doc_id, size, source_size, round(target, 6) AS target,
+               CASE WHEN size = 0 THEN CAST(0 AS BIGINT)
+                    ELSE CAST(wanted // source_size * size + greatest(0, least(size, wanted % source_size - start)) AS BIGINT) END AS taken
+        FROM p
+    """,
+}
