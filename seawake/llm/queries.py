@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .fingerprints import edit_fingerprints
+from .licenses import license_report
 from .mixing import mix_report
 from .ngram_join import near_duplicate_classes
 from .packing import pack
 from .pii import pseudonymize_documents
 from .quality import Resampler
 from .repeats import remove_repeats
+from .rules import quality_rules
 from .warc import round_trip
 
 
@@ -26,6 +28,14 @@ def op2_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Resampler(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).verdicts()
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(_documents(spark, sf_dir))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_documents(spark, sf_dir))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(_documents(spark, sf_dir), k=3, num=90, den=100)
 
@@ -53,6 +63,8 @@ def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_quality_resampling": op2_quality_resampling,
+    "op3_license_scan": op3_license_scan,
+    "op6_quality_rules": op6_quality_rules,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_order_minhash": op5_order_minhash,
     "op10_source_mixing": op10_source_mixing,
