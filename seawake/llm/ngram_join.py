@@ -90,12 +90,12 @@ def _named(k: int, seed: int) -> Callable:
                 a, b = set_names(docs, h, len(n), seed)
                 table += np.bincount((h >> K.U64(64 - TABLE_BITS)).astype(np.int64), minlength=len(table))
                 rows = len(n)
-                yield pa.record_batch([batch["doc_id"].slice(w.lo, rows), pa.array(n, pa.int64()), pa.array(K.signed(a)), pa.array(K.signed(b)), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int64())], names=["doc_id", "n", "node", "check", "bucket", "count"])
+                yield pa.record_batch([batch["doc_id"].slice(w.lo, rows), batch["h"].slice(w.lo, rows), pa.array(n, pa.int64()), pa.array(K.signed(a)), pa.array(K.signed(b)), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int64())], names=["doc_id", "h", "n", "node", "check", "bucket", "count"])
         full = np.flatnonzero(table)
         for lo in range(0, len(full), 1 << 16):
             part = full[lo : lo + (1 << 16)]
             none = pa.nulls(len(part), pa.int64())
-            yield pa.record_batch([none, none, none, none, pa.array(part, pa.int32()), pa.array(table[part])], names=["doc_id", "n", "node", "check", "bucket", "count"])
+            yield pa.record_batch([none, none, none, none, none, pa.array(part, pa.int32()), pa.array(table[part])], names=["doc_id", "h", "n", "node", "check", "bucket", "count"])
 
     return run
 
@@ -207,13 +207,14 @@ class JaccardJoin:
         if k < 1 or not 0 < num <= den:
             raise ValueError("k is at least 1 and the threshold above 0 and at most 1")
         self.spark, self.k, self.num, self.den = docs.sparkSession, k, num, den
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        self.comps: DataFrame | None = None
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
         small_batches(self.spark)
 
     def _name_sets(self) -> None:
         for seed in range(8):
-            rows = written(self.docs.mapInArrow(_named(self.k, seed), "doc_id long, n long, node long, check long, bucket int, count long"), "sets")
-            self.rows = rows.where("bucket IS NULL").select("doc_id", "n", "node", "check")
+            rows = written(self.docs.mapInArrow(_named(self.k, seed), "doc_id long, h long, n long, node long, check long, bucket int, count long"), "sets")
+            self.rows = rows.where("bucket IS NULL").select("doc_id", "h", "n", "node", "check")
             clash = self.rows.where("n > 0").groupBy("node").agg((F.min("check") != F.max("check")).alias("clash")).where("clash").limit(1)
             if not clash.take(1):
                 break
@@ -290,6 +291,11 @@ class JaccardJoin:
 
     def components(self) -> DataFrame:
         """(node, comp) of every node that links with another."""
+        if self.comps is None:
+            self.comps = self._components()
+        return self.comps
+
+    def _components(self) -> DataFrame:
         self._name_sets()
         self._lists()
         edges = comps = done = None
@@ -317,7 +323,25 @@ class JaccardJoin:
         rows = full.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
         return rows.union(self.rows.where("n = 0").select("doc_id", "n", "doc_id"))
 
+    def first_of_each(self) -> DataFrame:
+        """doc_id, h (xxhash64 of text) of the row of each component with the least doc_id (null last)."""
+        comps = self.components()
+        named = self.rows.where("n > 0").select("doc_id", "h", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        first = named.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first"))
+        return first.select("first.doc_id", "first.h")
+
 
 def near_duplicate_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the least doc_id reachable by links)."""
     return JaccardJoin(docs, k, num, den).classes()
+
+
+def without_near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """docs with one document of each component (the least doc_id; null last), all columns. Documents without words stay."""
+    first = JaccardJoin(docs, k, num, den).first_of_each().select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
+    words = F.coalesce(F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]"), F.lit(False))
+    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    met = keyed.where(words).join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_h")))
+    names = [c for c in docs.columns if c != "doc_id"]
+    one = met.groupBy("_id", "_h").agg(F.first("doc_id").alias("doc_id"), *(F.first(F.col(f"`{c}`")).alias(c) for c in names))  # rows that repeat
+    return one.select(*docs.columns).union(docs.where(~words))
