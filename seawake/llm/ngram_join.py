@@ -18,8 +18,9 @@ Equal sets are one node from the start.
   that any pair that is still apart has been compared. Groups that have become
   one component drop out.
 * A pair is dropped early only if it cannot link: by its sizes, or because the
-  parity sketches of its sets (256 bits; a shingle flips one) differ in more bits
-  than the sets may in shingles.
+  parity sketches of its sets (256 bits; a shingle flips one; sets of over
+  WIDE_FROM shingles have longer ones too) differ in more bits than the sets may
+  in shingles.
 * Verification compares whole shingle sets made from whole texts.
 
 Null text counts as empty. Repeated rows are equal sets and share a component.
@@ -49,6 +50,7 @@ TABLE_BITS = 19
 ROUNDS = (1, 4, None)
 MOST_MATCHES = 4
 SKETCH = ("s0", "s1", "s2", "s3")
+WIDE_FROM = 1024
 
 
 def shingle_sets(words: K.Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,6 +130,29 @@ def parity_sketches(docs: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(flips.astype(bool), axis=1, bitorder="little").view(np.int64)
 
 
+def wide_sketch(h: np.ndarray) -> bytes:
+    """As many bits as a quarter of the shingles, a power of two."""
+    bits = 1 << max(3, (len(h) // 4).bit_length())
+    return np.packbits((np.bincount((h & K.U64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool), bitorder="little").tobytes()
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    """Bits in which two wide sketches differ, the longer one folded; never more than the sets differ in shingles."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    if len(y) > len(x):
+        y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _near_enough(num: int, den: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [sketch_distance(a, b) * (den + num) <= (den - num) * n for a, b, n in zip(batch["wide_a"].to_pylist(), batch["wide_b"].to_pylist(), batch["both"].to_pylist(), strict=True)]
+            yield pa.record_batch([batch["a"], batch["b"], batch["need"]], names=["a", "b", "need"]).filter(pa.array(near, pa.bool_()))
+
+    return run
+
+
 def _prefixed(k: int, num: int, den: int, seed: int, shared) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(shared.value, np.int64)
@@ -136,6 +161,8 @@ def _prefixed(k: int, num: int, den: int, seed: int, shared) -> Callable:
             for w in K.hashed_words(batch["text"], lower=True):
                 docs, h, n = shingle_sets(w, k)
                 names = K.signed(set_names(docs, h, len(n), seed)[0])
+                bounds = np.concatenate([[0], np.cumsum(n)])
+                wide = {i: wide_sketch(h[bounds[i] : bounds[i + 1]]) for i in np.flatnonzero(n > WIDE_FROM).tolist()}
                 sketch = parity_sketches(docs, h, len(n))
                 h, hot, begin, size, best, central = prefix_of(docs, h, n, table, num, den)
                 new = []
@@ -149,8 +176,8 @@ def _prefixed(k: int, num: int, den: int, seed: int, shared) -> Callable:
                 at = np.repeat(begin[new] - np.concatenate([[0], np.cumsum(size[new])[:-1]]), size[new]) + np.arange(size[new].sum())
                 offsets = pa.array(np.concatenate([[0], np.cumsum(size[new])]), pa.int32())
                 yield pa.record_batch(
-                    [pa.array(names[new]), pa.array(n[new], pa.int32()), pa.array(best[new], pa.int32()), pa.array((central[new] * 1000).astype(np.int32)), *(pa.array(sketch[new, i]) for i in range(4)), pa.ListArray.from_arrays(offsets, pa.array(K.signed(h[at]))), pa.ListArray.from_arrays(offsets, pa.array(hot[at]))],
-                    names=["node", "n", "l", "central", *SKETCH, "prefix", "hot"],
+                    [pa.array(names[new]), pa.array(n[new], pa.int32()), pa.array(best[new], pa.int32()), pa.array((central[new] * 1000).astype(np.int32)), *(pa.array(sketch[new, i]) for i in range(4)), pa.array([wide.get(i) for i in new.tolist()], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(K.signed(h[at]))), pa.ListArray.from_arrays(offsets, pa.array(hot[at]))],
+                    names=["node", "n", "l", "central", *SKETCH, "wide", "prefix", "hot"],
                 )
 
     return run
@@ -227,7 +254,7 @@ class JaccardJoin:
 
     def _lists(self) -> None:
         """self.lists(token, node, central): prefix shingles that two nodes or more may have."""
-        self.nodes = written(self.docs.select("text").mapInArrow(_prefixed(self.k, self.num, self.den, self.seed, self.table), "node long, n int, l int, central int, s0 long, s1 long, s2 long, s3 long, prefix array<long>, hot array<boolean>"), "prefixes")
+        self.nodes = written(self.docs.select("text").mapInArrow(_prefixed(self.k, self.num, self.den, self.seed, self.table), "node long, n int, l int, central int, s0 long, s1 long, s2 long, s3 long, wide binary, prefix array<long>, hot array<boolean>"), "prefixes")
         heads = self.nodes.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "l", "central", *SKETCH)))
         rows = self.nodes.select("node", F.explode(F.arrays_zip("prefix", "hot")).alias("x")).select(F.col("x.prefix").alias("token"), "node", F.when(F.col("x.hot"), F.pmod(F.hash("node"), F.lit(64)) + 1).otherwise(0).alias("salt"))
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
@@ -271,14 +298,18 @@ class JaccardJoin:
         flipped = " + ".join(f"bit_count({c} ^ {c}_a)" for c in SKETCH)
         may = f"comp != comp_a AND {self.den} * least(n, n_a) >= {self.num} * greatest(n, n_a) AND ({flipped}) * {self.den + self.num} <= {rest} * (n + n_a)" + ("" if most else " AND node_a < node")
         met = lists.hint("merge").join(pivots.hint("merge"), (lists.token == pivots.token) & F.expr(may))
-        pairs = met.groupBy(F.col("node_a").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("met"), F.first(F.least("l", "l_a")).alias("need"))
+        pairs = met.groupBy(F.col("node_a").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("met"), F.first(F.least("l", "l_a")).alias("need"), F.first(F.least("n", "n_a")).alias("least"), F.first(F.col("n") + F.col("n_a")).alias("both"))
         if comps is None:  # at first one partner each: that with which it shares most
-            pairs = pairs.groupBy("b").agg(F.max_by(F.struct("a", "need"), F.struct("met", "a")).alias("p")).select("p.a", "b", "p.need")
-        pairs = pairs.select("a", "b", "need")
+            pairs = pairs.groupBy("b").agg(F.max_by(F.struct("a", "need", "least", "both"), F.struct("met", "a")).alias("p")).select("b", "p.*")
+        pairs = pairs.drop("met")
         if done is not None:
             same = done.select("a", "b").union(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
             pairs = pairs.join(same, ["a", "b"], "left_anti")
-        return pairs
+        wides = self.nodes.where("wide IS NOT NULL").groupBy("node").agg(F.first("wide").alias("wide"))
+        wa, wb = (wides.select(F.col("node").alias(x), F.col("wide").alias(f"wide_{x}")) for x in "ab")
+        long = pairs.where(F.col("least") > WIDE_FROM).join(wb, "b").join(wa, "a").select("a", "b", "need", "both", "wide_a", "wide_b")
+        near = long.mapInArrow(_near_enough(self.num, self.den), "a long, b long, need int")
+        return pairs.where(F.col("least") <= WIDE_FROM).select("a", "b", "need").union(near)
 
     def _multi_matched(self, pairs: DataFrame) -> DataFrame:
         """Of pairs that need more than one shared prefix shingle, those that have them."""
