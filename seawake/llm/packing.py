@@ -23,6 +23,7 @@ bytes, larger ones in four.
 from __future__ import annotations
 
 import itertools
+import os
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -36,13 +37,14 @@ from .storage import small_batches, written
 WINDOW, LEAST, END_ID = 2048, 128, 1
 MOST_QUEUES = 4096
 #: Words whose ids a worker remembers.
-MOST_WORDS = 500_000
+MOST_WORDS = 1_000_000
 
 _tokenizers: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str) -> tuple:
     if path not in _tokenizers:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         found = Tokenizer.from_file(path)
@@ -65,10 +67,21 @@ def encode(texts: list[bytes], path: str) -> tuple[list[bytes], str]:
     if len(known) + len(new) > MOST_WORDS:
         known.clear()
         new = list(set(itertools.chain.from_iterable(split)))
-    for lo in range(0, len(new), 20_000):
-        part = new[lo : lo + 20_000]
-        for word, e in zip(part, tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-            known[word] = np.array(e.ids, kind).tobytes()
+    mark = special[0].decode() if special else ""
+    for lo in range(0, len(new), 1000):
+        part = new[lo : lo + 1000]
+        if mark:  # one call for many words: a special token stands between them, as it stands in none
+            joined = mark.join([w.decode("utf-8", "replace") for w in part])
+            found = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, kind)
+            ends = np.append(np.flatnonzero(found == tokenizer.token_to_id(mark)), len(found)).tolist()
+            raw, size = found.tobytes(), found.itemsize
+            at = 0
+            for word, end in zip(part, ends, strict=True):
+                known[word] = raw[at * size : end * size]
+                at = end + 1
+        else:
+            for word, e in zip(part, tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
+                known[word] = np.array(e.ids, kind).tobytes()
     get = known.__getitem__
     out = []
     for text, words, by_tokenizer in zip(texts, split, whole, strict=True):
