@@ -1,5 +1,7 @@
 """Named queries over the test tables, and their SQL."""
 
+from .queries import ORACLE_SQL, QUERIES
+
 FLAGSHIP = "remove_outliers"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
