@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import string
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -39,6 +40,8 @@ MOST_QUEUES = 4096
 #: Words whose ids a worker remembers.
 MOST_WORDS = 1_000_000
 
+PUNCTUATION, ALPHANUMERIC = string.punctuation.encode(), string.digits.encode() + string.ascii_lowercase.encode()
+
 _tokenizers: dict[str, tuple] = {}
 
 
@@ -48,10 +51,40 @@ def _tokenizer(path: str) -> tuple:
         from tokenizers import Tokenizer
 
         found = Tokenizer.from_file(path)
-        _tokenizers[path] = found, {}, [t.content.encode() for t in found.get_added_tokens_decoder().values()], "<u2" if found.get_vocab_size(True) <= 1 << 16 else "<u4"
+        _tokenizers[path] = found, _Known(), [t.content.encode() for t in found.get_added_tokens_decoder().values()], "<u2" if found.get_vocab_size(True) <= 1 << 16 else "<u4"
     return _tokenizers[path]
 
 
+class _Known(dict):
+    """Ids of words; a word that is not known yet gets a place in `new`, and its number there for the time being."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self.new)
+        self.new.append(word)
+        return n
+
+
+def _encode_words(words: list[bytes], tokenizer, special: list[bytes], kind: str) -> list[bytes]:
+    """Ids of each word."""
+    mark, out = special[0].decode() if special else "", []
+    for lo in range(0, len(words), 1000):
+        part = words[lo : lo + 1000]
+        if mark:  # one call for many words: a special token stands between them, as it stands in none
+            joined = mark.join([w.decode("utf-8", "replace") for w in part])
+            found = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, kind)
+            ends = np.flatnonzero(found == tokenizer.token_to_id(mark))
+            raw, size = found.tobytes(), found.itemsize
+            begin, end = ((ends + 1) * size).tolist(), (ends * size).tolist()
+            out += [raw[a:b] for a, b in zip([0, *begin], [*end, len(raw)], strict=True)]
+        else:
+            out += [np.array(e.ids, kind).tobytes() for e in tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)]
+    return out
+
+
 def encode(texts: list[bytes], path: str) -> tuple[list[bytes], str]:
     """Ids of each text, as bytes of the dtype that is also returned.
 
@@ -60,35 +93,38 @@ def encode(texts: list[bytes], path: str) -> tuple[list[bytes], str]:
     the tokenizer whole.
     """
     tokenizer, known, special, kind = _tokenizer(path)
+    if len(known) > MOST_WORDS:
+        known.clear()
     lower = [t.lower() for t in texts]
     whole = [any(s in t for s in special) for t in lower]
-    split = [[] if w else t.split() for t, w in zip(lower, whole, strict=True)]
-    new = list(set(itertools.chain.from_iterable(split)) - known.keys())
-    if len(known) + len(new) > MOST_WORDS:
-        known.clear()
-        new = list(set(itertools.chain.from_iterable(split)))
-    mark = special[0].decode() if special else ""
-    for lo in range(0, len(new), 1000):
-        part = new[lo : lo + 1000]
-        if mark:  # one call for many words: a special token stands between them, as it stands in none
-            joined = mark.join([w.decode("utf-8", "replace") for w in part])
-            found = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, kind)
-            ends = np.append(np.flatnonzero(found == tokenizer.token_to_id(mark)), len(found)).tolist()
-            raw, size = found.tobytes(), found.itemsize
-            at = 0
-            for word, end in zip(part, ends, strict=True):
-                known[word] = raw[at * size : end * size]
-                at = end + 1
-        else:
-            for word, e in zip(part, tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                known[word] = np.array(e.ids, kind).tobytes()
     get = known.__getitem__
+    found = [[] if w else [get(x) for x in t.split()] for t, w in zip(lower, whole, strict=True)]
+    new, known.new = known.new, []
+    made: list = [None] * len(new)
+    ended = []
+    for i, word in enumerate(new):  # punctuation that ends a word is a run of its own
+        if word[-1] in PUNCTUATION:
+            base = word.rstrip(PUNCTUATION)
+            if base and base[-1] in ALPHANUMERIC:
+                ended.append((i, base, word[len(base) :]))
+                made[i] = b""
+    apart = {x for _, base, end in ended for x in (base, end) if type(known.get(x)) is not bytes}
+    whole_new = [i for i, m in enumerate(made) if m is None]
+    apart -= {new[i] for i in whole_new}
+    fresh = [new[i] for i in whole_new] + list(apart)
+    ids = dict(zip(fresh, _encode_words(fresh, tokenizer, special, kind), strict=True))
+    for i in whole_new:
+        made[i] = ids[new[i]]
+    for i, base, end in ended:
+        made[i] = (ids.get(base) or known[base]) + (ids.get(end) or known[end])
+    known.update(zip(new, made, strict=True))
+    known.update((x, ids[x]) for x in apart)
     out = []
-    for text, words, by_tokenizer in zip(texts, split, whole, strict=True):
+    for text, parts, by_tokenizer in zip(texts, found, whole, strict=True):
         if by_tokenizer:
             out.append(np.array(tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, kind).tobytes())
         else:
-            out.append(b"".join(map(get, words)))
+            out.append(b"".join([x if type(x) is bytes else made[x] for x in parts]))
     return out, kind
 
 
@@ -162,34 +198,40 @@ def tail_cuts(total: int, window: int) -> np.ndarray:
     return np.array(cuts, np.int64)
 
 
-def pieces(credits: Credits, tail: np.ndarray, queue: int, lo: int, n: int) -> tuple[np.ndarray, ...]:
-    """start, length, sequence and offset of the pieces of a document at tokens lo..lo+n-1 of its queue."""
-    window = credits.window
-    turns, edges = credits.turns(queue, lo, lo + n)
-    stream = credits.places(queue, turns)
-    begin = np.maximum(edges[:-1], lo)
-    length = np.minimum(edges[1:], lo + n) - begin
-    stream = stream + (begin - edges[:-1])
-    if len(turns) > 1:  # turns that follow one another in the stream are one run
-        new = np.ones(len(turns), bool)
-        new[1:] = stream[1:] != stream[:-1] + length[:-1]
-        at = np.flatnonzero(new)
-        begin, stream, length = begin[at], stream[at], np.add.reduceat(length, at)
+def pieces(credits: Credits, tail: np.ndarray, queue: int, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """document, start, length, sequence and offset of the pieces of documents that follow one another in a queue."""
+    window, lo, hi = credits.window, int(starts[0]), int(starts[-1] + sizes[-1])
+    turns, edges = credits.turns(queue, lo, hi)
+    places = credits.places(queue, turns)
+    begin = np.union1d(edges[:-1].clip(lo), starts)
+    length = np.diff(np.append(begin, hi))
+    turn = np.searchsorted(edges, begin, "right") - 1
+    stream = places[turn] + begin - edges[turn]
+    doc = np.searchsorted(starts, begin, "right") - 1
+    new = np.ones(len(begin), bool)  # turns that follow one another in the stream are one run
+    new[1:] = (stream[1:] != stream[:-1] + length[:-1]) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(new)
+    begin, stream, doc, length = begin[at], stream[at], doc[at], np.add.reduceat(length, at)
     full = credits.all - credits.all % window
-    out = []
-    for b, s, size in zip(begin.tolist(), stream.tolist(), length.tolist(), strict=True):
-        while size:
-            if s < full:
-                sequence, offset = divmod(s, window)
-                room = window - offset
-            else:
-                k = int(np.searchsorted(tail, s, "right"))
-                first = int(tail[k - 1]) if k else full
-                sequence, offset, room = full // window + k, s - first, int(tail[k]) - s
-            m = min(size, room)
-            out.append((b - lo, m, sequence, offset))
-            b, s, size = b + m, s + m, size - m
-    return tuple(np.array(x, np.int64) for x in zip(*out, strict=True))
+    cuts = (stream + length - 1) // window - stream // window  # ends of windows within each run
+    last = stream + length > full
+    cuts[last] = np.maximum(0, np.minimum(full, stream[last] + length[last] - 1) // window - stream[last] // window) + np.searchsorted(tail, stream[last] + length[last] - 1, "right") - np.searchsorted(tail, stream[last], "right")
+    row = np.repeat(np.arange(len(begin)), cuts + 1)
+    step = np.arange(len(row)) - np.repeat(np.cumsum(cuts + 1) - (cuts + 1), cuts + 1)
+    first = stream[row] // window + step  # sequence, were there full windows only
+    beyond = first >= full // window
+    base = np.minimum(stream // window, full // window) + np.where(stream >= full, np.searchsorted(tail, stream, "right"), 0)
+    sequence = np.where(beyond | (stream[row] >= full), base[row] + step, first)
+    opens = np.where(sequence < full // window, sequence * window, 0)
+    closes = opens + window
+    over = sequence >= full // window
+    if over.any():
+        k = sequence[over] - full // window
+        opens[over] = np.concatenate([[full], tail])[k]
+        closes[over] = tail[k]
+    s = np.maximum(stream[row], opens)
+    e = np.minimum(stream[row] + length[row], closes)
+    return doc[row], begin[row] + (s - stream[row]) - starts[doc[row]], e - s, sequence, s - opens
 
 
 def _packed(totals: list[int], window: int, least: int) -> Callable:
@@ -197,21 +239,26 @@ def _packed(totals: list[int], window: int, least: int) -> Callable:
         credits = Credits(np.array(totals, np.int64), window, least)
         tail = tail_cuts(credits.all, window)
         for batch in batches:
-            ids, sources, rows = batch["doc_id"].to_pylist(), batch["source"].to_pylist(), {k: [] for k in ("doc_id", "source", "start", "length", "crc", "tokens", "sequence", "offset")}
-            for i, (queue, lo, n, raw) in enumerate(zip(batch["queue_no"].to_pylist(), batch["at"].to_pylist(), batch["tokens"].to_pylist(), batch["ids"].to_pylist(), strict=True)):
-                whole = np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4")
-                start, length, sequence, offset = pieces(credits, tail, queue, lo, n)
-                m = len(start)
-                rows["doc_id"] += [ids[i]] * m
-                rows["source"] += [sources[i]] * m
-                rows["tokens"] += [n] * m
-                rows["start"] += start.tolist()
-                rows["length"] += length.tolist()
-                rows["sequence"] += sequence.tolist()
-                rows["offset"] += offset.tolist()
-                rows["crc"] += [zlib.crc32(whole[a : a + b].tobytes()) for a, b in zip(rows["start"][-m:], rows["length"][-m:], strict=True)]
+            queues, at, tokens = (batch[c].to_numpy() for c in ("queue_no", "at", "tokens"))
+            order = np.lexsort((at, queues))
+            q, lo, n = queues[order], at[order], tokens[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (q[1:] != q[:-1]) | (lo[1:] != lo[:-1] + n[:-1])
+            runs = np.flatnonzero(new).tolist()
+            parts = []
+            for a, b in zip(runs, [*runs[1:], len(order)], strict=True):
+                doc, *rest = pieces(credits, tail, int(q[a]), lo[a:b], n[a:b])
+                parts.append((order[a + doc], *rest))
+            row, start, length, sequence, offset = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 5
+            ids, crc, held, whole = batch["ids"], [], -1, b""
+            for i, a, m in zip(row.tolist(), start.tolist(), length.tolist(), strict=True):
+                if i != held:
+                    held, raw = i, ids[i].as_py()
+                    whole = np.frombuffer(raw, "<u2" if len(raw) == 2 * tokens[i] else "<u4").astype("<u4").tobytes()
+                crc.append(zlib.crc32(whole[4 * a : 4 * (a + m)]))
+            index = pa.array(row)
             yield pa.record_batch(
-                [pa.array(rows["doc_id"], pa.int64()), pa.array(rows["start"], pa.int64()), pa.array(rows["length"], pa.int64()), pa.array(rows["crc"], pa.int64()), pa.array(rows["tokens"], pa.int64()), pa.array(rows["sequence"], pa.int64()), pa.array(rows["offset"], pa.int64()), pa.array(rows["source"], pa.string())],
+                [batch["doc_id"].take(index), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(tokens[row].astype(np.int64)), pa.array(sequence), pa.array(offset), batch["source"].take(index)],
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"],
             )
 
