@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import licenses, rules
 from .fingerprints import edit_fingerprints
 from .licenses import license_report
 from .mixing import mix_report
@@ -73,7 +74,85 @@ QUERIES = {
     "op9_feistel_pseudonyms": op9_feistel_pseudonyms,
 }
 
+_SPACE = "[^ \\t\\n\\x0B\\f\\r]"
+
+
+def _license_sql() -> str:
+    """Every block against every template."""
+    num, den = licenses.THRESHOLD
+    sets = [(label, licenses.template_words(text)) for label, text in licenses.TEMPLATES]
+    templates = ", ".join(f"('{label}', [{', '.join(repr(w) for w in words)}])" for label, words in sets)
+    starts = []
+    for phrase in licenses.PHRASES:
+        words = phrase.split()
+        here = " AND ".join(f"ws[i + {j + 1}] = '{w}'" for j, w in enumerate(words))
+        starts.append(f"list_filter(range(0, len(ws) - {len(words) - 1}), lambda i: {here})")
+    labels = ", ".join(f"CASE WHEN len(p{i}) > 0 THEN '{label}' END" for i, label in enumerate(licenses.PHRASES.values()))
+    word = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+    return f"""
+        WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        w AS (SELECT doc_id, t, regexp_extract_all(t, '{word}') AS ws FROM d),
+        p AS (SELECT doc_id, t, ws, {", ".join(f"{x} AS p{i}" for i, x in enumerate(starts))} FROM w),
+        b AS (SELECT doc_id, t, len(ws) AS n_words, list_concat({", ".join(f"p{i}" for i in range(len(starts)))}) AS places, list_filter([{labels}], lambda x: x IS NOT NULL) AS labels FROM p),
+        l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS no FROM d),
+        bl AS (SELECT doc_id, line FROM l UNION ALL SELECT doc_id, line || ' ' || lead(line) OVER (PARTITION BY doc_id ORDER BY no) FROM l),
+        k AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '{word}')) AS words FROM bl WHERE line IS NOT NULL),
+        m AS (SELECT doc_id, label, len(list_intersect(words, tw)) AS common, len(tw) AS size FROM k, (VALUES {templates}) AS t(label, tw)),
+        h AS (SELECT doc_id, list(DISTINCT label) AS found, max(common / CAST(size AS DOUBLE)) AS score FROM m WHERE common * {den} >= size * {num} GROUP BY 1)
+        SELECT b.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, CAST(list_min(places) AS BIGINT) AS first_word, CAST(list_max(places) AS BIGINT) AS last_word,
+               array_to_string(list_sort(list_distinct(labels)), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(labels, coalesce(found, [])))), ',') AS labels, coalesce(score, 0.0e0) AS score
+        FROM b LEFT JOIN h ON b.doc_id = h.doc_id
+    """
+
+
+def _rules_sql() -> str:
+    """Histograms, references and distances, step by step. It expects one row for each doc_id."""
+    counts, chain = [], []
+    for i, pattern in enumerate(rules.CLASSES):
+        chain.append(f"c{i + 1} AS (SELECT *, regexp_replace(r{i}, '{pattern.replace(chr(39), chr(39) * 2)}', '', 'g') AS r{i + 1} FROM c{i})")
+        counts.append(f"length(r{i}) - length(r{i + 1})")
+    last = len(rules.CLASSES)
+    counts.append(f"length(r{last})")
+    hits = [f"len(list_filter(ws, lambda x: x IN ({', '.join(repr(v) for v in dict.fromkeys((w, w.capitalize(), w.upper())))})))" for w in rules.COMMON_WORDS]
+
+    def distance(histogram: str, total: str, reference: str) -> str:
+        p, q = f"({histogram}[i] / CAST({total} AS DOUBLE))", f"{reference}[i]"
+        m = f"(({p} + {q}) / 2)"
+        term = f"(CASE WHEN {p} > 0 THEN {p} * log2({p} / {m}) ELSE 0.0e0 END + CASE WHEN {q} > 0 THEN {q} * log2({q} / {m}) ELSE 0.0e0 END)"
+        return f"CASE WHEN {total} > 0 AND {reference} IS NOT NULL THEN sqrt(greatest(0.0e0, list_sum(list_transform(range(1, len({reference}) + 1), lambda i: {term})) / 2)) END"
+
+    def references(rows: str) -> str:
+        chars = ", ".join(f"avg(chars[{i + 1}] / CAST(n_chars AS DOUBLE))" for i in range(last + 1))
+        commons = ", ".join(f"avg(commons[{i + 1}] / CAST(n_words AS DOUBLE))" for i in range(len(rules.COMMON_WORDS) + 1))
+        return f"(SELECT lang, [{chars}] AS cr, [{commons}] AS wr FROM {rows} GROUP BY lang)"
+
+    char, common = distance("chars", "n_chars", "cr"), distance("commons", "n_words", "wr")
+    return f"""
+        WITH c0 AS (SELECT doc_id, lang, coalesce(text, '') AS text, coalesce(text, '') AS r0, regexp_extract_all(coalesce(text, ''), '{_SPACE}+') AS ws FROM documents), {", ".join(chain)},
+        g AS (SELECT doc_id, i, (ws[i], ws[i + 1], ws[i + 2]) AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM c0)),
+        gg AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g),
+        cv AS (SELECT doc_id, count(DISTINCT at_word) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS at_word FROM gg WHERE n > 1) GROUP BY 1),
+        s AS (
+            SELECT c.doc_id, lang, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+                   CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_SPACE}'))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_SPACE}')))) AS BIGINT) AS n_dup_lines,
+                   CAST(coalesce(cv.n, 0) AS BIGINT) AS n_repeat_words, length(text) AS n_chars, [{", ".join(counts)}] AS chars, [{", ".join(hits)}] AS hits
+            FROM c{last} c LEFT JOIN cv ON c.doc_id = cv.doc_id
+        ),
+        a AS (SELECT *, list_append(hits, CAST(n_words - list_sum(hits) AS BIGINT)) AS commons, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s),
+        one AS (SELECT a.*, cr, wr FROM a LEFT JOIN {references("(SELECT * FROM a WHERE NOT base_failed)")} f ON f.lang IS NOT DISTINCT FROM a.lang),
+        near AS (SELECT * EXCLUDE (cr, wr) FROM one WHERE NOT base_failed AND {char} <= {rules.NEAR}),
+        two AS (SELECT a.*, cr, wr FROM a LEFT JOIN {references("near")} f ON f.lang IS NOT DISTINCT FROM a.lang),
+        e AS (SELECT *, {char} AS char_distance, {common} AS word_distance FROM two)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND NOT coalesce((n_chars >= {rules.MIN_CHARS} AND char_distance > {rules.CHAR_LIMIT}) OR (n_words >= {rules.MIN_WORDS} AND word_distance > {rules.WORD_LIMIT}), false) AS kept,
+               round(char_distance, 6) AS char_distance, round(word_distance, 6) AS word_distance
+        FROM e
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_license_scan": _license_sql(),
+    "op6_quality_rules": _rules_sql(),
     "op1_warc": """
         WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS digest, CAST(strlen(coalesce(html, '')) AS BIGINT) AS bytes FROM pages),
         f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM p)
