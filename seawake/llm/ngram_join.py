@@ -43,7 +43,7 @@ from pyspark.sql import Window
 from . import kernels as K
 from .components import components
 from .storage import file_count, small_batches, written
-from .tables import bucketed
+from .tables import bitmap, in_bitmap
 
 TABLE_BITS = 19
 #: Pivots of a group in each round; None: all its members.
@@ -263,14 +263,20 @@ class JaccardJoin:
         several = F.count("*").over(Window.partitionBy("token", "salt"))
         kept = rows.withColumn("several", several).where("salt > 0 OR several > 1").select("token", "node")
         self.lists = written(kept.join(heads, "node"), "lists")
-        texts = self.docs.select("text").mapInArrow(_texts(self.k, self.seed), "node long, text string")
-        active = self.lists.select("node").distinct()
-        self.texts = bucketed(texts.join(active, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "node", "texts")
+
+    def _texts(self, pairs: DataFrame) -> DataFrame:
+        """node, text of the nodes of pairs. Documents whose hash is in none of them stay where they are."""
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        hashes = self.rows.where("n > 0").select("node", "h").join(wanted, "node", "left_semi").select("h")
+        shared = self.spark.sparkContext.broadcast(bitmap(hashes))
+        may = F.arrow_udf(in_bitmap(shared), "boolean")
+        named = self.docs.where(may("h")).select("text").mapInArrow(_texts(self.k, self.seed), "node long, text string")
+        return written(named.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
         """pairs(a, b), a the pivot: those that link. A pivot's many partners are dealt out in parts."""
         pairs = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(256)))
-        texts = self.texts
+        texts = self._texts(pairs)
         other = pairs.join(texts, pairs.b == texts.node).select("a", "part", "b", F.col("text").alias("text_b"))
         pivots = pairs.select("a", "part").distinct().join(texts, F.col("a") == texts.node).select("a", "part", F.col("text").alias("text_a"))
         both = other.hint("merge").join(pivots.hint("merge"), ["a", "part"])
@@ -337,7 +343,8 @@ class JaccardJoin:
                     break
                 comps = self.spark.createDataFrame([], "node long, comp long")
                 continue
-            links = written(self._verify(self._multi_matched(pairs)), "links", self.files)
+            matched = written(self._multi_matched(pairs), "matched", self.files)
+            links = written(self._verify(matched), "links", self.files)
             done = pairs if done is None else written(done.select("a", "b", "need").union(pairs), "done", self.files)
             edges = links if edges is None else edges.union(links)
             comps = written(components(edges, self.files), "components", self.files)
