@@ -1,6 +1,6 @@
 """Vectorised text kernels over Arrow string columns.
 
-A batch is cut into chunks of about a megabyte; within a chunk, words and
+A batch is cut into chunks of about 256 KB; within a chunk, words and
 windows of words are hashed by prefix sums of ``value * B**position`` modulo
 2**64 (B odd, so that every power has an inverse), one NumPy pass per byte and
 per word. Words are the runs of bytes other than space and 0x09-0x0D, which in
@@ -22,7 +22,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 BASE = 0x9E3779B97F4A7C15  # odd, 5 modulo 8: its powers have the full period
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import file_count, small_batches, written
+from .storage import file_count, fresh, small_batches, written
 
 GOLDEN = (5**0.5 - 1) / 2
 BLOCK_WORDS = 1024
@@ -143,11 +143,12 @@ class Mixture:
 
         Documents without words are left out. Of rows equal in doc_id, source and text all get the largest count.
         """
-        times = F.ceil(F.col("taken") / F.col("size")).cast("int")
-        takes = self.taken().where("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("h").alias("_h")).agg(F.max(times).alias("_times"))
-        keyed = docs.withColumn("_key", F.xxhash64("text"))
-        met = keyed.join(takes, F.col("_key").eqNullSafe(F.col("_h")) & docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source")))
-        return met.withColumn("_pass", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+        key, id_, source, h, times, turn = fresh(docs, "key", "id", "source", "h", "times", "turn")
+        passes = F.ceil(F.col("taken") / F.col("size")).cast("int")
+        takes = self.taken().where("taken > 0").groupBy(F.col("doc_id").alias(id_), F.col("source").alias(source), F.col("h").alias(h)).agg(F.max(passes).alias(times))
+        keyed = docs.withColumn(key, F.xxhash64("text"))
+        met = keyed.join(takes, (F.col(key) == F.col(h)) & F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & F.col("source").cast("string").eqNullSafe(F.col(source)))
+        return met.withColumn(turn, F.explode(F.sequence(F.lit(1), times))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def mix_report(docs: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ from pyspark.sql import Window
 
 from . import kernels as K
 from .components import components
-from .storage import file_count, small_batches, written
+from .storage import file_count, fresh, small_batches, written
 from .tables import bitmap, in_bitmap
 
 TABLE_BITS = 19
@@ -376,10 +376,10 @@ def near_duplicate_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int
 
 def without_near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs with one document of each component (the least doc_id; null last), all columns. Documents without words stay."""
-    first = JaccardJoin(docs, k, num, den).first_of_each().select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
+    key, id_, h = fresh(docs, "key", "id", "h")
+    first = JaccardJoin(docs, k, num, den).first_of_each().select(F.col("doc_id").alias(id_), F.col("h").alias(h))
     words = F.coalesce(F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]"), F.lit(False))
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    met = keyed.where(words).join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_h")))
-    names = [c for c in docs.columns if c != "doc_id"]
-    one = met.groupBy("_id", "_h").agg(F.first("doc_id").alias("doc_id"), *(F.first(F.col(f"`{c}`")).alias(c) for c in names))  # rows that repeat
-    return one.select(*docs.columns).union(docs.where(~words))
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    met = keyed.where(words).join(first, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(h)))
+    one = met.groupBy(id_, h).agg(*(F.first(F.col(f"`{c}`")).alias(c) for c in docs.columns))  # rows that repeat
+    return one.select(*(F.col(f"`{c}`") for c in docs.columns)).union(docs.where(~words))

@@ -141,7 +141,7 @@ def _rules_sql() -> str:
         a AS (SELECT *, list_append(hits, CAST(n_words - list_sum(hits) AS BIGINT)) AS commons, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s),
         one AS (SELECT a.*, cr, wr FROM a LEFT JOIN {references("(SELECT * FROM a WHERE NOT base_failed)")} f ON f.lang IS NOT DISTINCT FROM a.lang),
         near AS (SELECT * EXCLUDE (cr, wr) FROM one WHERE NOT base_failed AND {char} <= {rules.NEAR}),
-        two AS (SELECT a.*, cr, wr FROM a LEFT JOIN {references("near")} f ON f.lang IS NOT DISTINCT FROM a.lang),
+        two AS (SELECT o.* EXCLUDE (cr, wr), coalesce(f.cr, o.cr) AS cr, coalesce(f.wr, o.wr) AS wr FROM one o LEFT JOIN {references("near")} f ON f.lang IS NOT DISTINCT FROM o.lang),
         e AS (SELECT *, {char} AS char_distance, {common} AS word_distance FROM two)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
                NOT base_failed AND NOT coalesce((n_chars >= {rules.MIN_CHARS} AND char_distance > {rules.CHAR_LIMIT}) OR (n_words >= {rules.MIN_WORDS} AND word_distance > {rules.WORD_LIMIT}), false) AS kept,

@@ -4,7 +4,7 @@ A document's histogram of character classes and its histogram of common words
 (each common word, and all others) are compared with the references of its
 language by Jensen-Shannon distance (base 2, 0 to 1). References are mean
 histograms over the corpus: first over all documents that pass the base rules,
-then over those of them within NEAR of the first. Languages beyond the
+then over those of them within NEAR of the first, if there are any. Languages beyond the
 MOST_LANGUAGES most frequent, and null ones, use the reference of all documents.
 
 A document fails when it is long enough for the comparison (MIN_CHARS, MIN_WORDS)
@@ -121,7 +121,7 @@ def _compared(rows: DataFrame, references: DataFrame, names: list) -> DataFrame:
     language = F.when(F.col("lang").isin(names), F.col("lang")) if names else F.lit(None).cast("string")
     of = references.select(F.col("lang").alias("_lang"), "char_reference", "word_reference")
     met = rows.withColumn("_of", language).join(F.broadcast(of), F.col("_of").eqNullSafe(F.col("_lang")), "left")  # MOST_LANGUAGES + 1 rows at most
-    distance = lambda counts, total, reference: F.when(F.col(total) > 0, js_distance(F.col(counts), F.col(total), F.col(reference)))
+    distance = lambda counts, total, reference: F.when((F.col(total) > 0) & F.col(reference).isNotNull(), js_distance(F.col(counts), F.col(total), F.col(reference)))
     return met.withColumn("char_distance", distance("chars", "n_chars", "char_reference")).withColumn("word_distance", distance("commons", "n_words", "word_reference")).drop("_of", "_lang", "char_reference", "word_reference")
 
 
@@ -133,7 +133,9 @@ def quality_rules(docs: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: f
     names = sorted(r.lang for r in passed.where("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect())
     first = _references(passed, names)
     near = _compared(passed, first, names).where(F.col("char_distance") <= NEAR)
-    out = _compared(rows, _references(near, names), names)
+    second = _references(near, names)
+    kept_first = first.join(second.select(F.col("lang").alias("_lang")), F.col("lang").eqNullSafe(F.col("_lang")), "left_anti")
+    out = _compared(rows, second.union(kept_first), names)
     far = ((F.col("n_chars") >= min_chars) & (F.col("char_distance") > char_limit)) | ((F.col("n_words") >= min_words) & (F.col("word_distance") > word_limit))
     kept = ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))

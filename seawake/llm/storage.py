@@ -59,9 +59,21 @@ def small_batches(spark: SparkSession) -> None:
     """Bound the bytes of an Arrow batch sent to Python, where the session leaves that open."""
     scratch(spark)
     for key, value, default in (
-        ("spark.sql.execution.arrow.maxRecordsPerBatch", "2000", "10000"),
-        ("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20), None),
+        ("spark.sql.execution.arrow.maxRecordsPerBatch", "1000", "10000"),
+        ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20), None),
     ):
         now = spark.conf.get(key, None)
         if now is None or now == default or (default is None and not now.isdigit()) or (now.isdigit() and int(now) > int(value)):
             spark.conf.set(key, value)
+
+
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """Column names like stems that df does not have."""
+    have, out = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        name = f"_{stem}"
+        while name.lower() in have:
+            name = f"_{name}"
+        out.append(name)
+        have.add(name.lower())
+    return out
