@@ -110,6 +110,10 @@ def remove_outliers_rows(trajectories: DataFrame, *thresholds, additional_column
     boats = remove_outliers(explode_points(rows, "_row"), "_row", *thresholds, **named)
     at = boats.groupBy("_row", "boat").agg(F.sort_array(F.collect_list("pos")).alias("_at"))
     met = rows.join(at, "_row")
-    taken = {c: F.transform("_at", lambda i, c=c: F.get(F.col(c), i)) for c in ("points", *additional_columns)}
+
+    def of(column: str) -> Column:
+        return F.transform("_at", lambda i: F.get(F.col(column), i))
+
+    taken = {c: of(c) for c in ("points", *additional_columns)}
     out = met.withColumns(taken)
     return out.withColumns({"boat_start_time": F.array_min(F.transform("points", lambda p: p["ts"])), "boat_end_time": F.array_max(F.transform("points", lambda p: p["ts"])), "boat_point_count": F.size("points")}).drop("_row", "_at")
