@@ -122,17 +122,67 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(list(maps), pa.int32()), pa.array([np.packbits(m, bitorder="little").tobytes() for m in maps.values()], pa.binary())], names=["segment", "bits"])
 
 
+_SEEN = "h long, h2 int, met boolean, uid long, place int, times int, anchored boolean"
+
+
+def _seen(h: np.ndarray, h2: np.ndarray, uid: np.ndarray, place: np.ndarray, anchored: np.ndarray) -> pa.RecordBatch:
+    """Rows for a count per (h, h2). Windows that the batch itself shows to be repeated are settled (met) and dealt out
+    evenly; one row without a place stands for all of them in the count. So a sequence that every text holds is not
+    one task's work.
+    """
+    order = np.lexsort((h2, h))
+    a, b = h[order], h2[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    begin = np.flatnonzero(new)
+    size = np.diff(np.append(begin, len(order)))
+    settled = np.zeros(len(order), bool)
+    if len(order):
+        group = (size > 1) & np.logical_or.reduceat(anchored[order], begin)
+        settled[order] = np.repeat(group, size)
+        heads = order[begin[group]]
+    else:
+        group = heads = np.zeros(0, np.int64)
+    n, m = len(h), len(heads)
+    key = np.where(settled, K.mix(uid.view(K.U64) * K.U64(31) + place.astype(K.U64), 61), h)
+    none = np.zeros(n + m, bool)
+    none[n:] = True
+    put = lambda x, more: np.concatenate([x, more])
+    return pa.record_batch(
+        [
+            pa.array(K.signed(put(key, h[heads]))),
+            pa.array(put(h2, h2[heads]).astype(np.uint32).view(np.int32)),
+            pa.array(put(settled, np.zeros(m, bool))),
+            pa.array(put(uid, np.zeros(m, np.int64)), mask=none),
+            pa.array(put(place, np.zeros(m, np.int64)).astype(np.int32), mask=none),
+            pa.array(put(np.ones(n, np.int32), np.full(m, 2, np.int32))),
+            pa.array(put(anchored, np.ones(m, bool))),
+        ],
+        names=["h", "h2", "met", "uid", "place", "times", "anchored"],
+    )
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """uid, places of the rows of _seen() whose sequence occurs twice or more, at least once anchored."""
+    of = Window.partitionBy("h", "h2", "met")
+    met = rows.withColumn("all", F.sum("times").over(of)).withColumn("any", F.max("anchored").over(of))
+    return met.where("uid IS NOT NULL AND (met OR (all > 1 AND any))").groupBy("uid").agg(F.collect_list("place").alias("places"))
+
+
 def _probes(block: int, shared) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            uids = batch["uid"].to_numpy()
+            uids, found = batch["uid"].to_numpy(), []
             for w in K.hashed_words(batch["text"]):
                 at, h = w.windows(block)
                 bit = (h >> K.U64(64 - INDEX_BITS)).astype(np.int64)
                 on = np.flatnonzero((index[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
                 doc, place = _places(w, at[on])
-                yield pa.record_batch([pa.array(K.signed(h[on])), pa.array(uids[w.lo + doc]), pa.array(place, pa.int32())], names=["h", "uid", "place"])
+                found.append((h[on], uids[w.lo + doc], place))
+            if found:
+                h, uid, place = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield _seen(h, np.zeros(len(h), np.int64), uid, place, place % block == 0)
 
     return run
 
@@ -140,7 +190,7 @@ def _probes(block: int, shared) -> Callable:
 def _candidates(window: int, block: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            uids, places = batch["uid"].to_numpy(), batch["places"]
+            uids, places, found = batch["uid"].to_numpy(), batch["places"], []
             hits, of = places.values.to_numpy(), places.offsets.to_numpy()
             for w in K.hashed_words(batch["text"]):
                 at, h = w.windows(window, seed=7)
@@ -154,7 +204,10 @@ def _candidates(window: int, block: int) -> Callable:
                 at, h = at[on], h[on]
                 other = K.span_hashes(K.mix(w.hashes, 11), at, at + window, seed=13)
                 doc, place = _places(w, at)
-                yield pa.record_batch([pa.array(K.signed(h)), pa.array((other >> K.U64(32)).astype(np.uint32).view(np.int32)), pa.array(uids[w.lo + doc]), pa.array(place, pa.int32())], names=["h", "h2", "uid", "place"])
+                found.append((h, (other >> K.U64(32)).astype(np.int64), uids[w.lo + doc], place))
+            if found:
+                h, h2, uid, place = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield _seen(h, h2, uid, place, np.ones(len(h), bool))
 
     return run
 
@@ -196,13 +249,8 @@ def repeated_windows(docs: DataFrame, window: int = 35) -> tuple[DataFrame, Data
     for segment, bits in zip(segments["segment"].to_pylist(), segments["bits"].to_pylist(), strict=True):
         index[segment << (SEGMENT_BITS - 3) :][: 1 << (SEGMENT_BITS - 3)] = np.frombuffer(bits, np.uint8)
     shared = spark.sparkContext.broadcast(index.tobytes())
-    probes = texts.select("uid", "text").mapInArrow(_probes(block, shared), "h long, uid long, place int")
-    of_block = Window.partitionBy("h")
-    met = probes.withColumn("times", F.count("*").over(of_block)).withColumn("anchored", F.max(F.expr(f"place % {block} = 0")).over(of_block))
-    hits = met.where("times > 1 AND anchored").groupBy("uid").agg(F.collect_list("place").alias("places"))
-    held = texts.join(hits, "uid").select("uid", "text", "places").mapInArrow(_candidates(window, block), "h long, h2 int, uid long, place int")
-    again = held.withColumn("times", F.count("*").over(Window.partitionBy("h", "h2"))).where("times > 1")
-    found = written(again.groupBy("uid").agg(F.collect_list("place").alias("places")), "repeated")
+    hits = _repeated(texts.select("uid", "text").mapInArrow(_probes(block, shared), _SEEN))
+    found = written(_repeated(texts.join(hits, "uid").select("uid", "text", "places").mapInArrow(_candidates(window, block), _SEEN)), "repeated")
     return texts, found, seed
 
 
