@@ -38,7 +38,7 @@ from .storage import small_batches, written
 WINDOW, LEAST, END_ID = 2048, 128, 1
 MOST_QUEUES = 4096
 #: Words whose ids a worker remembers.
-MOST_WORDS = 1_000_000
+MOST_WORDS = 400_000
 
 PUNCTUATION, ALPHANUMERIC = string.punctuation.encode(), string.digits.encode() + string.ascii_lowercase.encode()
 
