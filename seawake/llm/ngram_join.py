@@ -11,8 +11,9 @@ Equal sets are one node from the start.
 * Each document picks its own l: a longer prefix where the estimated lists of
   its prefix are long. Pair (x, y) is verified only if its prefixes share
   min(l_x, l_y) shingles, and if its sizes allow the threshold.
-* Components are what is asked for, so no group of documents under one shingle
-  is expanded into all its pairs. In each round the most central documents of a
+* Components are what is asked for, so no large group of documents under one
+  shingle is expanded into all its pairs (groups of at most SMALL nodes are, once
+  and for all). In each round the most central documents of a
   group (pivots: those whose prefix is commonest) are compared with the members
   of other components only; the last round takes every document as a pivot, so
   that any pair that is still apart has been compared. Groups that have become
@@ -36,7 +37,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -49,6 +50,7 @@ TABLE_BITS = 19
 #: Pivots of a group in each round; None: all its members.
 ROUNDS = (1, 4, None)
 MOST_MATCHES = 4
+SMALL = 8
 SKETCH = ("s0", "s1", "s2", "s3")
 WIDE_FROM = 1024
 
@@ -261,8 +263,9 @@ class JaccardJoin:
         rows = rows.repartition(n, "token", "salt").dropDuplicates(["token", "salt", "node"])
         # A shingle that the table calls rare has a short list. The others are dealt out and stay in any case.
         several = F.count("*").over(Window.partitionBy("token", "salt"))
-        kept = rows.withColumn("several", several).where("salt > 0 OR several > 1").select("token", "node")
-        self.lists = written(kept.join(heads, "node"), "lists")
+        kept = rows.withColumn("several", several).where("salt > 0 OR several > 1").select("token", "node", ((F.col("salt") == 0) & (F.col("several") <= SMALL)).alias("small"))
+        lists = written(kept.join(heads, "node"), "lists")
+        self.small, self.lists = lists.where("small").drop("small"), lists.where("NOT small").drop("small")
 
     def _texts(self, pairs: DataFrame) -> DataFrame:
         """node, text of the nodes of pairs. Documents whose hash is in none of them stay where they are."""
@@ -282,6 +285,24 @@ class JaccardJoin:
         both = other.hint("merge").join(pivots.hint("merge"), ["a", "part"])
         return both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(self.k, self.num, self.den), "a long, b long")
 
+    def _may(self, flipped: Column, n: Column, m: Column) -> Column:
+        """Whether sets of n and m shingles, whose sketches differ in `flipped` bits, may link."""
+        return (self.den * F.least(n, m) >= self.num * F.greatest(n, m)) & (flipped * (self.den + self.num) <= (self.den - self.num) * (n + m))
+
+    def _small_pairs(self) -> DataFrame:
+        """All pairs of small groups that may link."""
+        groups = self.small.groupBy("token").agg(F.collect_list(F.struct("node", "n", "l", *SKETCH)).alias("g"))  # SMALL rows at most
+
+        def flipped(x: Column, y: Column) -> Column:
+            return sum((F.bit_count(x[c].bitwiseXOR(y[c])) for c in SKETCH[1:]), F.bit_count(x[SKETCH[0]].bitwiseXOR(y[SKETCH[0]])))
+
+        def with_others(x: Column) -> Column:
+            others = F.filter("g", lambda y: (y["node"] > x["node"]) & self._may(flipped(x, y), x["n"], y["n"]))
+            return F.transform(others, lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"), F.least(x["l"], y["l"]).alias("need"), F.least(x["n"], y["n"]).alias("least"), (x["n"] + y["n"]).alias("both")))
+
+        pairs = groups.select(F.inline(F.flatten(F.transform("g", with_others))))
+        return pairs.groupBy("a", "b").agg(*(F.first(c).alias(c) for c in ("need", "least", "both")))
+
     def _candidates(self, most: int | None, comps: DataFrame | None, done: DataFrame | None) -> DataFrame:
         """a, b, need: pairs of a pivot and another node under a common shingle that may link and are not linked yet."""
         lists = self.lists
@@ -300,14 +321,15 @@ class JaccardJoin:
         else:
             pivots = lists.select("token", *head)
         pivots = pivots.select("token", *(F.col(c).alias(f"{c}_a") for c in head))
-        rest = self.den - self.num
-        flipped = " + ".join(f"bit_count({c} ^ {c}_a)" for c in SKETCH)
-        may = f"comp != comp_a AND {self.den} * least(n, n_a) >= {self.num} * greatest(n, n_a) AND ({flipped}) * {self.den + self.num} <= {rest} * (n + n_a)" + ("" if most else " AND node_a < node")
-        met = lists.hint("merge").join(pivots.hint("merge"), (lists.token == pivots.token) & F.expr(may))
+        flipped = F.expr(" + ".join(f"bit_count({c} ^ {c}_a)" for c in SKETCH))
+        may = self._may(flipped, F.col("n"), F.col("n_a")) & F.expr("comp != comp_a" + ("" if most else " AND node_a < node"))
+        met = lists.hint("merge").join(pivots.hint("merge"), (lists.token == pivots.token) & may)
         pairs = met.groupBy(F.col("node_a").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("met"), F.first(F.least("l", "l_a")).alias("need"), F.first(F.least("n", "n_a")).alias("least"), F.first(F.col("n") + F.col("n_a")).alias("both"))
         if comps is None:  # at first one partner each: that with which it shares most
             pairs = pairs.groupBy("b").agg(F.max_by(F.struct("a", "need", "least", "both"), F.struct("met", "a")).alias("p")).select("b", "p.*")
-        pairs = pairs.drop("met")
+        pairs = pairs.select("a", "b", "need", "least", "both")
+        if comps is None:
+            pairs = pairs.union(self._small_pairs())
         if done is not None:
             same = done.select("a", "b").union(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
             pairs = pairs.join(same, ["a", "b"], "left_anti")
