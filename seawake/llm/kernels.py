@@ -115,7 +115,8 @@ def pieces(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         lo = hi
 
 
-def hashed_words(column: pa.Array, lower: bool = False, seed: int = 0, most: int = CHUNK_BYTES) -> Iterator[Words]:
+def hashed_words(column: pa.Array, lower: bool = False, seed: int = 0, most: int = CHUNK_BYTES, cut: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[Words]:
+    """cut: two tables of bytes; a word is cut between a byte of the first and a byte of the second."""
     for lo, hi, off, data in pieces(column, most):
         if lower:
             data = LOWER[data]
@@ -127,6 +128,10 @@ def hashed_words(column: pa.Array, lower: bool = False, seed: int = 0, most: int
         if n:
             begins[1:] &= ~inside[:-1] | first[1:-1]
             stops[:-1] &= ~inside[1:] | first[1:-1]
+            if cut is not None:
+                between = cut[0][data[:-1]] & cut[1][data[1:]]
+                begins[1:] |= between
+                stops[:-1] |= between
         starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
         hashes = span_hashes(byte_values(seed)[data], starts, ends, seed)
         yield Words(lo, hi, data, off, starts, ends, np.searchsorted(starts, off), hashes)

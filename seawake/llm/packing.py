@@ -33,14 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .storage import small_batches, written
 
 WINDOW, LEAST, END_ID = 2048, 128, 1
 MOST_QUEUES = 4096
 #: Words whose ids a worker remembers.
-MOST_WORDS = 400_000
+MOST_WORDS = 3_000_000
 
-PUNCTUATION, ALPHANUMERIC = string.punctuation.encode(), string.digits.encode() + string.ascii_lowercase.encode()
+CUT = tuple(np.isin(np.arange(256), np.frombuffer(x.encode(), np.uint8)) for x in (string.digits + string.ascii_lowercase, string.punctuation))
 
 _tokenizers: dict[str, tuple] = {}
 
@@ -51,21 +52,46 @@ def _tokenizer(path: str) -> tuple:
         from tokenizers import Tokenizer
 
         found = Tokenizer.from_file(path)
-        _tokenizers[path] = found, _Known(), [t.content.encode() for t in found.get_added_tokens_decoder().values()], "<u2" if found.get_vocab_size(True) <= 1 << 16 else "<u4"
+        kind = "<u2" if found.get_vocab_size(True) <= 1 << 16 else "<u4"
+        _tokenizers[path] = found, Vocabulary(kind), [t.content.encode() for t in found.get_added_tokens_decoder().values()], kind
     return _tokenizers[path]
 
 
-class _Known(dict):
-    """Ids of words; a word that is not known yet gets a place in `new`, and its number there for the time being."""
+class Vocabulary:
+    """Ids of the words met so far: sorted word hashes with places in one array of ids."""
 
-    def __init__(self):
-        super().__init__()
-        self.new: list[bytes] = []
+    def __init__(self, kind: str):
+        self.kind = kind
+        self.clear()
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self.new)
-        self.new.append(word)
-        return n
+    def clear(self) -> None:
+        self.hashes, self.place, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.used = np.zeros(1 << 16, self.kind), 0
+
+    def missing(self, hashes: np.ndarray) -> np.ndarray:
+        """Which of the sorted hashes are not known."""
+        at = np.searchsorted(self.hashes, hashes)
+        known = np.zeros(len(hashes), bool)
+        inside = at < len(self.hashes)
+        known[inside] = self.hashes[at[inside]] == hashes[inside]
+        return ~known
+
+    def add(self, hashes: np.ndarray, ids: list[bytes]) -> None:
+        """Sorted new hashes, and the ids of each word."""
+        raw = np.frombuffer(b"".join(ids), self.kind)
+        size = np.array([len(x) for x in ids], np.int64) // raw.itemsize
+        while self.used + len(raw) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(raw)] = raw
+        at = np.searchsorted(self.hashes, hashes)
+        self.place = np.insert(self.place, at, self.used + np.cumsum(size) - size)
+        self.size = np.insert(self.size, at, size)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.used += len(raw)
+
+    def spans(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.hashes, hashes)
+        return self.place[at], self.size[at]
 
 
 def _encode_words(words: list[bytes], tokenizer, special: list[bytes], kind: str) -> list[bytes]:
@@ -85,46 +111,38 @@ def _encode_words(words: list[bytes], tokenizer, special: list[bytes], kind: str
     return out
 
 
-def encode(texts: list[bytes], path: str) -> tuple[list[bytes], str]:
+def encode(texts: pa.Array, path: str) -> tuple[list[bytes], str]:
     """Ids of each text, as bytes of the dtype that is also returned.
 
-    The tokenizer drops white space and never joins across it, so ids are
-    remembered by lower-case word. A text with the string of a special token goes to
+    The tokenizer drops white space, lowers case and never joins across white
+    space, nor from a letter or digit to punctuation. So ids are remembered by
+    lower-case word, punctuation apart (by its 64-bit hash). A text with the string of a special token goes to
     the tokenizer whole.
     """
     tokenizer, known, special, kind = _tokenizer(path)
-    if len(known) > MOST_WORDS:
-        known.clear()
-    lower = [t.lower() for t in texts]
-    whole = [any(s in t for s in special) for t in lower]
-    get = known.__getitem__
-    found = [[] if w else [get(x) for x in t.split()] for t, w in zip(lower, whole, strict=True)]
-    new, known.new = known.new, []
-    made: list = [None] * len(new)
-    ended = []
-    for i, word in enumerate(new):  # punctuation that ends a word is a run of its own
-        if word[-1] in PUNCTUATION:
-            base = word.rstrip(PUNCTUATION)
-            if base and base[-1] in ALPHANUMERIC:
-                ended.append((i, base, word[len(base) :]))
-                made[i] = b""
-    apart = {x for _, base, end in ended for x in (base, end) if type(known.get(x)) is not bytes}
-    whole_new = [i for i, m in enumerate(made) if m is None]
-    apart -= {new[i] for i in whole_new}
-    fresh = [new[i] for i in whole_new] + list(apart)
-    ids = dict(zip(fresh, _encode_words(fresh, tokenizer, special, kind), strict=True))
-    for i in whole_new:
-        made[i] = ids[new[i]]
-    for i, base, end in ended:
-        made[i] = (ids.get(base) or known[base]) + (ids.get(end) or known[end])
-    known.update(zip(new, made, strict=True))
-    known.update((x, ids[x]) for x in apart)
-    out = []
-    for text, parts, by_tokenizer in zip(texts, found, whole, strict=True):
-        if by_tokenizer:
-            out.append(np.array(tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, kind).tobytes())
-        else:
-            out.append(b"".join([x if type(x) is bytes else made[x] for x in parts]))
+    out: list[bytes] = []
+    for w in K.hashed_words(texts, lower=True, most=1 << 20, cut=CUT):
+        if len(known.hashes) > MOST_WORDS:
+            known.clear()
+        raw = w.data.tobytes()
+        hashes, first, inverse = np.unique(w.hashes, return_index=True, return_inverse=True)
+        new = np.flatnonzero(known.missing(hashes))
+        if len(new):
+            spans = zip(w.starts[first[new]].tolist(), w.ends[first[new]].tolist(), strict=True)
+            known.add(hashes[new], _encode_words([raw[a:b] for a, b in spans], tokenizer, special, kind))
+        place, size = known.spans(hashes)
+        place, size = place[inverse], size[inverse]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = known.ids[np.repeat(place - ends[:-1], size) + np.arange(ends[-1])]
+        bounds = ends[w.offsets].tolist()
+        made = [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+        if any(s in raw for s in special):
+            for i in range(w.lo, w.hi):
+                text = texts[i].as_py()
+                text = text.decode("utf-8", "replace") if isinstance(text, bytes) else text or ""
+                if any(s in text.encode().lower() for s in special):
+                    made[i - w.lo] = np.array(tokenizer.encode(text, add_special_tokens=False).ids, kind).tobytes()
+        out += made
     return out, kind
 
 
@@ -135,9 +153,8 @@ def _tokenized(path: str, end: int) -> Callable:
         part = TaskContext.get().partitionId()
         sent: dict = {}
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                piece = batch.slice(lo, 500)
-                ids, kind = encode(piece["text"].fill_null("").cast(pa.binary()).to_pylist(), path)
+            for piece in (batch,):
+                ids, kind = encode(piece["text"], path)
                 tail = np.array([end], kind).tobytes()
                 starts, counts = [], []
                 for queue, x in zip(piece["queue"].to_pylist(), ids, strict=True):
