@@ -50,9 +50,9 @@ TABLE_BITS = 19
 #: Pivots of a group in each round; None: all its members.
 ROUNDS = (1, 4, None)
 MOST_MATCHES = 4
-SMALL = 8
+SMALL = 16
 SKETCH = ("s0", "s1", "s2", "s3")
-WIDE_FROM = 1024
+WIDE_FROM = 128
 
 
 def shingle_sets(words: K.Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,8 +133,8 @@ def parity_sketches(docs: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
 
 
 def wide_sketch(h: np.ndarray) -> bytes:
-    """As many bits as a quarter of the shingles, a power of two."""
-    bits = 1 << max(3, (len(h) // 4).bit_length())
+    """As many bits as shingles, or up to twice as many: a power of two."""
+    bits = 1 << max(3, len(h).bit_length())
     return np.packbits((np.bincount((h & K.U64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool), bitorder="little").tobytes()
 
 
@@ -256,7 +256,7 @@ class JaccardJoin:
 
     def _lists(self) -> None:
         """self.lists(token, node, central): prefix shingles that two nodes or more may have."""
-        self.nodes = written(self.docs.select("text").mapInArrow(_prefixed(self.k, self.num, self.den, self.seed, self.table), "node long, n int, l int, central int, s0 long, s1 long, s2 long, s3 long, wide binary, prefix array<long>, hot array<boolean>"), "prefixes")
+        self.nodes = written(self.docs.select("text").mapInArrow(_prefixed(self.k, self.num, self.den, self.seed, self.table), "node long, n int, l int, central int, s0 long, s1 long, s2 long, s3 long, wide binary, prefix array<long>, hot array<boolean>"), "prefixes", most=16 * self.files)
         heads = self.nodes.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "l", "central", *SKETCH)))
         rows = self.nodes.select("node", F.explode(F.arrays_zip("prefix", "hot")).alias("x")).select(F.col("x.prefix").alias("token"), "node", F.when(F.col("x.hot"), F.pmod(F.hash("node"), F.lit(64)) + 1).otherwise(0).alias("salt"))
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
@@ -264,7 +264,7 @@ class JaccardJoin:
         # A shingle that the table calls rare has a short list. The others are dealt out and stay in any case.
         several = F.count("*").over(Window.partitionBy("token", "salt"))
         kept = rows.withColumn("several", several).where("salt > 0 OR several > 1").select("token", "node", ((F.col("salt") == 0) & (F.col("several") <= SMALL)).alias("small"))
-        lists = written(kept.join(heads, "node"), "lists")
+        lists = written(kept.join(heads, "node"), "lists", most=16 * self.files)
         self.small, self.lists = lists.where("small").drop("small"), lists.where("NOT small").drop("small")
 
     def _texts(self, pairs: DataFrame) -> DataFrame:
@@ -274,7 +274,7 @@ class JaccardJoin:
         shared = self.spark.sparkContext.broadcast(bitmap(hashes))
         may = F.arrow_udf(in_bitmap(shared), "boolean")
         named = self.docs.where(may("h")).select("text").mapInArrow(_texts(self.k, self.seed), "node long, text string")
-        return written(named.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
+        return written(named.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts", most=16 * self.files)
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
         """pairs(a, b), a the pivot: those that link. A pivot's many partners are dealt out in parts."""

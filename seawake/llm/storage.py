@@ -38,23 +38,21 @@ def file_count(spark: SparkSession, rows: int, a_file: int = 50_000) -> int:
     return max(2, min(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // a_file))
 
 
-def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: its lineage ends there."""
+def written(df: DataFrame, name: str, files: int | None = None, most: int | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: its lineage ends there.
+
+    files: deal it out to so many files. most: merge tasks, without a shuffle, until no more than so many are left.
+    """
     spark = df.sparkSession
     if files:
         df = df.repartition(files)
+    if most:
+        df = df.coalesce(most)
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Remove a table of written() that no later job reads."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bound the bytes of an Arrow batch sent to Python, where the session leaves that open."""
     scratch(spark)
