@@ -101,7 +101,7 @@ def _named(k: int, seed: int) -> Callable:
             none = pa.nulls(len(part), pa.int64())
             yield pa.record_batch([none, none, none, none, none, pa.array(part, pa.int32()), pa.array(table[part])], names=["doc_id", "h", "n", "node", "check", "bucket", "count"])
 
-    return run
+    return K.tidy(run)
 
 
 def prefix_of(docs: np.ndarray, h: np.ndarray, n: np.ndarray, table: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -152,7 +152,7 @@ def _near_enough(num: int, den: int) -> Callable:
             near = [sketch_distance(a, b) * (den + num) <= (den - num) * n for a, b, n in zip(batch["wide_a"].to_pylist(), batch["wide_b"].to_pylist(), batch["both"].to_pylist(), strict=True)]
             yield pa.record_batch([batch["a"], batch["b"], batch["need"]], names=["a", "b", "need"]).filter(pa.array(near, pa.bool_()))
 
-    return run
+    return K.tidy(run)
 
 
 def _prefixed(k: int, num: int, den: int, seed: int, shared) -> Callable:
@@ -182,7 +182,7 @@ def _prefixed(k: int, num: int, den: int, seed: int, shared) -> Callable:
                     names=["node", "n", "l", "central", *SKETCH, "wide", "prefix", "hot"],
                 )
 
-    return run
+    return K.tidy(run)
 
 
 def _texts(k: int, seed: int) -> Callable:
@@ -200,7 +200,7 @@ def _texts(k: int, seed: int) -> Callable:
                 if new:
                     yield pa.record_batch([pa.array([names[i] for i in new], pa.int64()), batch["text"].take(pa.array([w.lo + i for i in new]))], names=["node", "text"])
 
-    return run
+    return K.tidy(run)
 
 
 def _verified(k: int, num: int, den: int) -> Callable:
@@ -226,7 +226,7 @@ def _verified(k: int, num: int, den: int) -> Callable:
                 linked = pa.array(den * both >= num * (na + nb - both))
                 yield pa.record_batch([batch["a"], batch["b"]], names=["a", "b"]).filter(linked)
 
-    return run
+    return K.tidy(run)
 
 
 class JaccardJoin:

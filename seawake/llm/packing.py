@@ -39,7 +39,7 @@ from .storage import small_batches, written
 WINDOW, LEAST, END_ID = 2048, 128, 1
 MOST_QUEUES = 4096
 #: Words whose ids a worker remembers.
-MOST_WORDS = 3_000_000
+MOST_WORDS = 1_000_000
 
 CUT = tuple(np.isin(np.arange(256), np.frombuffer(x.encode(), np.uint8)) for x in (string.digits + string.ascii_lowercase, string.punctuation))
 
@@ -121,7 +121,7 @@ def encode(texts: pa.Array, path: str) -> tuple[list[bytes], str]:
     """
     tokenizer, known, special, kind = _tokenizer(path)
     out: list[bytes] = []
-    for w in K.hashed_words(texts, lower=True, most=1 << 20, cut=CUT):
+    for w in K.hashed_words(texts, lower=True, most=1 << 19, cut=CUT):
         if len(known.hashes) > MOST_WORDS:
             known.clear()
         raw = w.data.tobytes()
@@ -167,7 +167,7 @@ def _tokenized(path: str, end: int) -> Callable:
                     names=["doc_id", "source", "queue", "part", "start", "tokens", "ids"],
                 )
 
-    return run
+    return K.tidy(run)
 
 
 class Credits:
@@ -279,7 +279,7 @@ def _packed(totals: list[int], window: int, least: int) -> Callable:
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"],
             )
 
-    return run
+    return K.tidy(run)
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, least: int = LEAST, end_id: int = END_ID) -> DataFrame:

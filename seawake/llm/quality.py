@@ -88,7 +88,7 @@ def _counts(good) -> Callable:
         at = np.flatnonzero(raw)
         yield pa.record_batch([pa.array(at, pa.int32()), pa.array(raw[at]), pa.array(target[at])], names=["bucket", "raw", "target"])
 
-    return run
+    return K.tidy(run)
 
 
 def keys(doc_ids: pa.Array, texts: pa.Array, ratio: np.ndarray, temperature: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,7 +113,7 @@ def _scores(ratio, temperature: float) -> Callable:
             n, weight, key = keys(batch["doc_id"], batch["text"], table, temperature)
             yield pa.record_batch([batch["doc_id"], pa.array(n), pa.array(weight), pa.array(key)], names=["doc_id", "n_words", "log_weight", "gumbel_key"])
 
-    return run
+    return K.tidy(run)
 
 
 def best_cut(good: np.ndarray, bad: np.ndarray) -> float:

@@ -62,7 +62,7 @@ def _rows(seed: int) -> Callable:
                 kept.append(hashlib.sha256(b" ".join(words)).hexdigest())
             yield pa.record_batch([batch["doc_id"], pa.array(names, pa.int64()), pa.array(counts, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "uid", "n_words", "whole"])
 
-    return run
+    return K.tidy(run)
 
 
 def _firsts(window: int, seed: int) -> Callable:
@@ -88,7 +88,7 @@ def _firsts(window: int, seed: int) -> Callable:
             if names:
                 yield pa.record_batch([pa.array(names, pa.int64()), pa.array(checks, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], names=["uid", "check", "text"])
 
-    return run
+    return K.tidy(run)
 
 
 def _places(w: K.Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +111,7 @@ def _blocks(block: int) -> Callable:
                 parts = np.split((bits & ((1 << SEGMENT_BITS) - 1)).astype(np.uint32), begin[1:])
                 yield pa.record_batch([pa.array(segments, pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["segment", "bits"])
 
-    return run
+    return K.tidy(run)
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +184,7 @@ def _probes(block: int, shared) -> Callable:
                 h, uid, place = (np.concatenate(x) for x in zip(*found, strict=True))
                 yield _seen(h, np.zeros(len(h), np.int64), uid, place, place % block == 0)
 
-    return run
+    return K.tidy(run)
 
 
 def _candidates(window: int, block: int) -> Callable:
@@ -209,7 +209,7 @@ def _candidates(window: int, block: int) -> Callable:
                 h, h2, uid, place = (np.concatenate(x) for x in zip(*found, strict=True))
                 yield _seen(h, h2, uid, place, np.ones(len(h), bool))
 
-    return run
+    return K.tidy(run)
 
 
 def _removed(window: int) -> Callable:
@@ -227,7 +227,7 @@ def _removed(window: int) -> Callable:
                 kept.append(hashlib.sha256(b" ".join(x for x, s in zip(words, stay.tolist(), strict=True) if s)).hexdigest())
             yield pa.record_batch([batch["uid"], pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["uid", "n_removed", "kept_sha256"])
 
-    return run
+    return K.tidy(run)
 
 
 def repeated_windows(docs: DataFrame, window: int = 35) -> tuple[DataFrame, DataFrame, int]:
