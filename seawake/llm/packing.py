@@ -166,6 +166,7 @@ def _tokenized(path: str, end: int) -> Callable:
                     [piece["doc_id"], piece["source"], piece["queue"], pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array([x + tail for x in ids], pa.binary())],
                     names=["doc_id", "source", "queue", "part", "start", "tokens", "ids"],
                 )
+        _tokenizers.clear()  # a worker outlives its task, and what comes next may need the room
 
     return K.tidy(run)
 

@@ -190,4 +190,4 @@ class Resampler:
             for batch in batches:
                 yield batch.filter(pa.array(keys(batch["doc_id"], batch["text"], table, temperature)[2] >= least))
 
-        return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(K.tidy(run), docs.schema)
