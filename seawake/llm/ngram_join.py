@@ -360,10 +360,9 @@ class JaccardJoin:
         edges = comps = done = None
         for most in ROUNDS:
             pairs = written(self._candidates(most, comps, done), "candidates", self.files)
-            if not pairs.take(1):
-                if comps is not None:
-                    break
-                comps = self.spark.createDataFrame([], "node long, comp long")
+            if not pairs.take(1):  # pivots may be far from all while others link: only the last round settles that
+                if comps is None:
+                    comps = self.spark.createDataFrame([], "node long, comp long")
                 continue
             matched = written(self._multi_matched(pairs), "matched", self.files)
             links = written(self._verify(matched), "links", self.files)

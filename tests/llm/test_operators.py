@@ -86,6 +86,17 @@ def test_near_copies_of_one_text_meet(spark):
     assert got == brute_classes(rows, 3, 90, 100)
 
 
+def test_links_that_no_pivot_has_are_found(spark):
+    # Two copies of a text with one changed word each link; the revisions, a passage cut out or written anew, link with nothing but are more central.
+    base = [f"b{i}" for i in range(160)]
+    texts = [base[:at] + [f"c{at}"] + base[at + 1 :] for at in (50, 110)]
+    for lo in range(0, 160, 20):
+        texts += [base[:lo] + new + base[lo + 20 :] for new in ([], [f"r{lo}x{j}" for j in range(20)])]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = sorted((tuple(r) for r in ngram_join.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()), key=repr)
+    assert got == brute_classes(rows, 3, 90, 100)
+
+
 def test_one_of_each_near_duplicate_group_stays(spark):
     rows, df = corpus(spark, seed=9)
     kept = ngram_join.without_near_duplicates(df, 5, 80, 100)
