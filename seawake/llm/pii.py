@@ -6,9 +6,10 @@ ones different pseudonyms:
 
 * card numbers (13 to 19 digits that pass the Luhn check; separators stay): the
   digits before the check digit are permuted, the check digit is made anew;
-* IBANs (mod 97 holds): letters and digits of the account part, check digits anew;
+* IBANs (mod 97 holds; words that follow are not taken in): letters and digits
+  of the account part, check digits anew;
 * telephone numbers (+ and 8 to 15 digits, or three groups of a North American
-  number): the digits after the country code;
+  number, a 1 before them or not): the digits after the country code;
 * US social security numbers, IPv4 addresses, dates (ISO, or d/m/y with valid
   day and month): within the valid values of their form;
 * e-mail addresses: letters and digits of all but the last label;
@@ -39,6 +40,11 @@ from .storage import small_batches
 
 KEY = b"seawake pseudonyms"  # a default for tests; give your own
 ROUNDS = 8
+#: Characters of an IBAN by country (ISO 13616 registry); others may have any length from 15 to 34.
+IBAN_LENGTHS = {c: n for n, cs in {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}.items() for c in cs.split()}
 KINDS = ("email", "secret", "iban", "phone", "date", "ip", "ssn", "card")
 
 
@@ -129,27 +135,38 @@ def _card(m: re.Match, key: bytes) -> str | None:
     return _refill(m[0], body + str(-luhn(body + "0") % 10))
 
 
-def _iban(m: re.Match, key: bytes) -> str | None:
-    value = m[0].replace(" ", "")
-    number = lambda s: int("".join(str(int(c, 36)) for c in s))
-    if not 15 <= len(value) <= 34 or number(value[4:] + value[:4]) % 97 != 1:
-        return None
-    body = scramble(value[4:], key, b"iban" + value[:2].encode())
-    new = value[:2] + f"{98 - number(body + value[:2] + '00') % 97:02d}" + body
-    rest = iter(new)
-    return "".join(c if c == " " else next(rest) for c in m[0])
+def _shorter(form: str) -> Iterator[str]:
+    """form, then what is left of it as its last groups are taken off."""
+    yield form
+    for gap in reversed([x.start() for x in re.finditer(r"(?<=[A-Z0-9)])[ .-]", form)]):
+        yield form[:gap]
 
 
-def _phone(m: re.Match, key: bytes) -> str | None:
-    digits = re.sub(r"\D", "", m[0])
-    if m[0].startswith("+"):
-        if not 8 <= len(digits) <= 15:
-            return None
-        code = re.match(r"\+(\d{1,3})", m[0])[1]
-        code = code if len(code) < len(digits) - 5 else code[:1]
-    else:
-        code = ""
-    return _refill(m[0], code + scramble(digits[len(code) :], key, b"phone" + code.encode()))
+def _iban(m: re.Match, key: bytes) -> tuple[str, str] | None:
+    number = lambda s: int("".join(str(int(c, 36)) for c in s))
+    for form in _shorter(m[0]):  # the last groups may be words that follow
+        value = form.replace(" ", "")
+        if len(value) != IBAN_LENGTHS.get(value[:2], len(value)) or not 15 <= len(value) <= 34 or number(value[4:] + value[:4]) % 97 != 1:
+            continue
+        body = scramble(value[4:], key, b"iban" + value[:2].encode())
+        new = value[:2] + f"{98 - number(body + value[:2] + '00') % 97:02d}" + body
+        rest = iter(new)
+        return form, "".join(c if c == " " else next(rest) for c in form)
+    return None
+
+
+def _phone(m: re.Match, key: bytes) -> tuple[str, str] | None:
+    for form in _shorter(m[0]):
+        digits = re.sub(r"\D", "", form)
+        if not form.startswith("+"):
+            code = "1" if len(digits) == 11 else ""
+        elif not 8 <= len(digits) <= 15:
+            continue
+        else:
+            code = re.match(r"\+(\d{1,3})", form)[1]
+            code = code if len(code) < len(digits) - 5 else code[:1]
+        return form, _refill(form, code + scramble(digits[len(code) :], key, b"phone" + code.encode()))
+    return None
 
 
 def _ip(m: re.Match, key: bytes) -> str | None:
@@ -214,7 +231,7 @@ _SECRET = re.compile(r"(?i:token|secret|password|passwd|api[_-]?key|access[_-]?k
 #: What begins with a digit, a plus or a country code is looked at only where a digit stands.
 _NUMBER = re.compile(
     r"(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
-    r"|(?P<phone>\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\d)|(?<![\w+])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))"
+    r"|(?P<phone>\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\d)|(?<![\w+])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])|(?<![\w.+-])(?:1[ .-])?(?:[2-9]\d{2}[ .-]|\([2-9]\d{2}\)[ .-]?)[2-9]\d{2}[ .-]\d{4}(?![\w-]))"
     r"|(?<!\d)(?P<date>(?P<a>\d{4}|\d{1,2})(?P<mark>[-/.])(?P<b>\d{1,2})(?P=mark)(?P<c>\d{4}|\d{1,2}))(?![\d]|[./-]\d)"
     r"|(?<![\d.])(?P<ip>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?!\d|\.\d)"
     r"|(?<![\d-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\d-])"
@@ -229,13 +246,14 @@ def pseudonymize(text: str, key: bytes = KEY) -> tuple[str, dict[str, int]]:
     counts: dict[str, int] = {}
 
     def put(kind: str, make: Callable) -> Callable:
-        def one(m: re.Match) -> str:
+        def one(m: re.Match) -> tuple[str, str]:
+            """The value, which may end before the match does, and its pseudonym; twice the match if there is no value."""
             name = kind or next(k for k in _MAKERS if m[k] is not None)
             new = (make or _MAKERS[name])(m, key)
             if new is None:
-                return m[0]
+                return m[0], m[0]
             counts[name] = counts.get(name, 0) + 1
-            return new
+            return new if isinstance(new, tuple) else (m[0], new)
 
         return one
 
@@ -252,11 +270,11 @@ def pseudonymize(text: str, key: bytes = KEY) -> tuple[str, dict[str, int]]:
             at, one = 0, put(kind, make)
             m = pattern.search(part)
             while m:
-                new = one(m)
-                if new != m[0]:
+                old, new = one(m)
+                if new != old:
                     after += [(part[at : m.start()], True), (new, False)]
-                    at = m.end()
-                m = pattern.search(part, m.end() if new != m[0] else m.start() + 1)
+                    at = m.start() + len(old)
+                m = pattern.search(part, at if new != old else m.start() + 1)
             after.append((part[at:], True))
         parts = after
     return "".join(p for p, _ in parts), counts
