@@ -4,8 +4,8 @@ A document's histogram of character classes and its histogram of common words
 (each common word, and all others) are compared with the references of its
 language by Jensen-Shannon distance (base 2, 0 to 1). References are mean
 histograms over the corpus: first over all documents that pass the base rules,
-then over those of them within NEAR of the first, if there are any. Languages beyond the
-MOST_LANGUAGES most frequent, and null ones, use the reference of all documents.
+then over those of them within NEAR of the first, if there are any. Every language has a reference
+of its own, however many there are; a null lang is a language too, as in SQL's GROUP BY.
 
 A document fails when it is long enough for the comparison (MIN_CHARS, MIN_WORDS)
 and its distance exceeds the limit, and when the base rules fail: under 50
@@ -34,7 +34,8 @@ COMMON_WORDS = (
 ).split()
 CHAR_LIMIT, WORD_LIMIT, NEAR = 0.18, 0.45, 0.15
 MIN_CHARS, MIN_WORDS = 100, 50
-MOST_LANGUAGES = 256
+#: References of so many languages are broadcast; above that Spark chooses the join.
+BROADCAST_LANGUAGES = 4096
 #: What is taken from a text in turn; each class counts what its pattern removes, the last what is left.
 CLASSES = ("[a-z]+", "[A-Z]+", "[0-9]+", "[ \\t\\n\\x0B\\f\\r]+", "[.,;:!?'\"()\\-]+", "[\\x00-\\x7F]+")
 _GAP = "[ \\t\\n\\x0B\\f\\r]+"
@@ -105,24 +106,22 @@ def measured(docs: DataFrame) -> DataFrame:
     return df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def _references(rows: DataFrame, names: list) -> DataFrame:
-    """lang, char_reference, word_reference: mean histograms of each language named, and of all (lang null)."""
+def _references(rows: DataFrame) -> DataFrame:
+    """lang, char_reference, word_reference: mean histograms of each language (null is one)."""
 
     def means(column: str, total: str, n: int) -> list[Column]:
         return [F.avg(F.col(column)[i] / F.col(total)) for i in range(n)]
 
     chars, words = means("chars", "n_chars", len(CLASSES) + 1), means("commons", "n_words", len(COMMON_WORDS) + 1)
-    both = [F.array(*chars).alias("char_reference"), F.array(*words).alias("word_reference")]
-    some = rows.where(F.col("lang").isin(names)) if names else rows.where("false")
-    return some.groupBy("lang").agg(*both).union(rows.agg(*both).select(F.lit(None).cast("string").alias("lang"), "char_reference", "word_reference").where("char_reference[0] IS NOT NULL"))
+    return rows.groupBy("lang").agg(F.array(*chars).alias("char_reference"), F.array(*words).alias("word_reference"))
 
 
-def _compared(rows: DataFrame, references: DataFrame, names: list) -> DataFrame:
-    language = F.when(F.col("lang").isin(names), F.col("lang")) if names else F.lit(None).cast("string")
+def _compared(rows: DataFrame, references: DataFrame) -> DataFrame:
     of = references.select(F.col("lang").alias("_lang"), "char_reference", "word_reference")
-    met = rows.withColumn("_of", language).join(F.broadcast(of), F.col("_of").eqNullSafe(F.col("_lang")), "left")  # MOST_LANGUAGES + 1 rows at most
+    few = len(of.select("_lang").take(BROADCAST_LANGUAGES + 1)) <= BROADCAST_LANGUAGES
+    met = rows.join(F.broadcast(of) if few else of, F.col("lang").eqNullSafe(F.col("_lang")), "left")
     distance = lambda counts, total, reference: F.when((F.col(total) > 0) & F.col(reference).isNotNull(), js_distance(F.col(counts), F.col(total), F.col(reference)))
-    return met.withColumn("char_distance", distance("chars", "n_chars", "char_reference")).withColumn("word_distance", distance("commons", "n_words", "word_reference")).drop("_of", "_lang", "char_reference", "word_reference")
+    return met.withColumn("char_distance", distance("chars", "n_chars", "char_reference")).withColumn("word_distance", distance("commons", "n_words", "word_reference")).drop("_lang", "char_reference", "word_reference")
 
 
 def quality_rules(docs: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
@@ -130,12 +129,11 @@ def quality_rules(docs: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: f
     small_batches(docs.sparkSession)
     rows = written(measured(docs), "measured")
     passed = rows.where("NOT base_failed")
-    names = sorted(r.lang for r in passed.where("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect())
-    first = _references(passed, names)
-    near = _compared(passed, first, names).where(F.col("char_distance") <= NEAR)
-    second = _references(near, names)
+    first = written(_references(passed), "references")
+    near = _compared(passed, first).where(F.col("char_distance") <= NEAR)
+    second = written(_references(near), "references")
     kept_first = first.join(second.select(F.col("lang").alias("_lang")), F.col("lang").eqNullSafe(F.col("_lang")), "left_anti")
-    out = _compared(rows, second.union(kept_first), names)
+    out = _compared(rows, second.union(kept_first))
     far = ((F.col("n_chars") >= min_chars) & (F.col("char_distance") > char_limit)) | ((F.col("n_words") >= min_words) & (F.col("word_distance") > word_limit))
     kept = ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))

@@ -437,6 +437,27 @@ def test_js_distance(spark):
     assert abs(got - want) < 1e-12
 
 
+@pytest.mark.parametrize("broadcast", [4096, 3])
+def test_every_language_has_a_reference(spark, monkeypatch, broadcast):
+    import duckdb
+
+    from seawake.llm.queries import ORACLE_SQL
+
+    monkeypatch.setattr(rules, "BROADCAST_LANGUAGES", broadcast)
+    rng = random.Random(8)
+    rows = []
+    for i in range(900):
+        n = i % 300  # each language has its own mixture of words and characters
+        words = [rng.choice([rules.COMMON_WORDS[n % 30], f"{'XyZ'[n % 3] * (1 + n % 7)}{rng.randint(0, 9) if n % 2 else 'q'}", f"v{rng.randrange(10**6)}"]) for _ in range(60)]
+        rows.append((i, " ".join(words), f"l{n}" if n else None))
+    docs = pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows], "lang": [r[2] for r in rows]})
+    con = duckdb.connect()
+    con.register("documents", docs)
+    want = {r["doc_id"]: (r["kept"], r["char_distance"], r["word_distance"]) for r in con.execute(ORACLE_SQL["op6_quality_rules"]).to_arrow_table().to_pylist()}
+    got = {r.doc_id: (r.kept, r.char_distance, r.word_distance) for r in rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got == {i: (kept, pytest.approx(char, abs=2e-6), pytest.approx(word, abs=2e-6)) for i, (kept, char, word) in want.items()}
+
+
 def test_license_scan(spark):
     split_in_two = "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation files"
     texts = ["Released under the MIT License.", "MIT-license mit LICENSE", "nothing here", None, "", "x\n" + split_in_two + "\ny", "Licensed under the Apache License, Version 2.0.\nGNU General Public License", "mit licensed", "İ MIT license ım"]
