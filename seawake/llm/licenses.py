@@ -5,7 +5,10 @@ case. Base labels come from phrases whose words stand consecutively.
 
 A block is a line of text (ended by a line feed), or two neighbouring lines,
 as a license is often broken once. A block meets a template when it contains at
-least ``threshold`` of the template's distinct words. The join is exact:
+least ``threshold`` of the template's distinct words. A template that no line or
+pair of lines of a text meets is looked for in windows of its words over three
+lines or more, however they are broken: as many words as the template has, and
+one for each line break (a comment mark). The join is exact:
 
 * the templates' words are ordered by their frequency over all documents,
   rarest first (counted in full; the table has a row per template word);
@@ -87,7 +90,8 @@ def frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches of every row.
 
-    matches: label, block (number of its first line), lines (1 or 2) and containment of every block that meets a template.
+    matches: label, block (number of its first line), lines and containment of every block that meets a template, and of
+    every window (from one of the template's words on) that meets a template which no block does; those have 3 lines or more.
     score: the greatest containment; 0 without a match.
     """
     num, den = threshold
@@ -99,6 +103,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: tuple[int, int] = THRE
     count = frequencies(docs, vocabulary)
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (count[w], w)))}
     ordered = [(label, sorted(rank[w] for w in s), -(-num * len(s) // den)) for label, s in sets]
+    lengths = [len(re.findall("[0-9a-z]+", text.lower())) for _, text in templates]
     names = sorted(vocabulary, key=rank.get)
     prefix = sorted({names[r] for _, ranks, need in ordered for r in ranks[: len(ranks) - need + 1]})
 
@@ -121,14 +126,14 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: tuple[int, int] = THRE
 
     def met(ranks: Column, lines: int, block: Column) -> Column:
         hits = []
-        for label, template, need in ordered:
+        for no, (label, template, need) in enumerate(ordered):
             whole = F.array(*map(F.lit, template))
             head = F.array(*map(F.lit, template[: len(template) - need + 1]))
             first = lambda r, head=head: F.array_min(F.array_intersect(head, r))
             room = F.least(F.size(whole) - F.array_position(whole, first(ranks)), F.size(ranks) - F.array_position(ranks, first(ranks))) + 1
             common = F.size(F.array_intersect(whole, ranks))
             ok = (F.size(ranks) >= need) & F.arrays_overlap(head, ranks) & (room >= need) & (common >= need)
-            hits.append(F.when(ok, F.struct(F.lit(label).alias("label"), block.alias("block"), F.lit(lines).alias("lines"), (common / F.lit(float(len(template)))).alias("containment"))))
+            hits.append(F.when(ok, F.struct(F.lit(label).alias("label"), block.alias("block"), F.lit(lines).alias("lines"), (common / F.lit(float(len(template)))).alias("containment"), F.lit(no).alias("template"))))
         return F.array_compact(F.array(*hits))
 
     def blocks(lines: Column) -> Column:
@@ -137,12 +142,43 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: tuple[int, int] = THRE
         def joined(ranks: Column) -> Column:
             single = F.flatten(F.transform(ranks, lambda r, i: met(r, 1, i)))
             pairs = F.transform(F.sequence(F.lit(0), F.size(ranks) - 2), lambda i: met(F.sort_array(F.array_union(ranks[i], ranks[i + 1])), 2, i))
-            return F.when(F.size(ranks) > 1, F.concat(single, F.flatten(pairs))).otherwise(single)
+            both = let(F.concat(single, F.flatten(pairs)), lambda found: F.concat(found, windows(lines, F.array_distinct(F.flatten(ranks)), found)))
+            return F.when(F.size(ranks) > 2, both).when(F.size(ranks) > 1, F.concat(single, F.flatten(pairs))).otherwise(single)
 
         return let(one, joined)
 
-    none = F.array().cast("array<struct<label:string,block:int,lines:int,containment:double>>")
+    def windows(lines: Column, have: Column, found: Column) -> Column:
+        """Windows of three lines or more that meet a template which is not found; have: all ranks of the text."""
+        met_already = F.transform(found, lambda m: m["template"])
+        left = [(F.size(F.array_intersect(F.array(*map(F.lit, template)), have)) >= need) & ~F.array_contains(met_already, no) for no, (_, template, need) in enumerate(ordered)]
+        full = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("line"), _words(x).alias("words"))), lambda x: F.size(x["words"]) > 0)
+        words = F.flatten(F.transform(full, lambda x, row: F.transform(x["words"], lambda w: F.struct(x["line"].alias("line"), row.alias("row"), w.alias("word")))))
+        placed = F.filter(F.transform(words, lambda x, i: F.struct(x["line"].alias("line"), (i - x["row"]).alias("at"), x["word"].alias("word"))), lambda x: x["word"].isin(vocabulary))  # a word for each line is free
+
+        def of(no: int, words: Column) -> Column:
+            label, template, need = ordered[no]
+            own = F.filter(words, lambda x: x["word"].isin([names[r] for r in template]))
+
+            def starting(own: Column) -> Column:
+                def window(x: Column, i: Column) -> Column:
+                    return let(
+                        F.filter(F.slice(own, i + 1, 2 * lengths[no]), lambda y: y["at"] < x["at"] + lengths[no]),
+                        lambda w: F.struct(F.lit(label).alias("label"), x["line"].alias("block"), (F.element_at(w, -1)["line"] - x["line"] + 1).alias("lines"), (F.size(F.array_distinct(F.transform(w, lambda y: y["word"]))) / F.lit(float(len(template)))).alias("containment"), F.lit(no).alias("template")),
+                    )
+
+                return F.filter(F.transform(own, window), lambda m: (m["lines"] > 2) & (m["containment"] >= need / len(template)))
+
+            return let(own, starting)
+
+        some = left[0]
+        for x in left[1:]:
+            some = some | x
+        every = lambda words: F.concat(*(F.when(left[no], of(no, words)).otherwise(none) for no in range(len(ordered))))
+        return F.when(some, let(placed, every)).otherwise(none)
+
+    none = F.array().cast("array<struct<label:string,block:int,lines:int,containment:double,template:int>>")
     df = df.withColumn("matches", F.when(F.col("candidate"), blocks(F.split("text", "\n", -1))).otherwise(none))
+    df = df.withColumn("matches", F.transform("matches", lambda m: F.struct(*(m[c].alias(c) for c in ("label", "block", "lines", "containment")))))
     every = F.flatten("places")
     labels = F.array_compact(F.array(*(F.when(F.size(F.col("places")[i]) > 0, F.lit(label)) for i, label in enumerate(PHRASES.values()))))
     base = F.array_sort(F.array_distinct(labels))

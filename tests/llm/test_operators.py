@@ -470,6 +470,23 @@ def test_license_scan(spark):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def test_licenses_are_found_however_they_are_broken(spark):
+    import textwrap
+
+    texts = []
+    for label, sentence in licenses.TEMPLATES:
+        for width in (1, 20, 30, 50):
+            for mark in ("", " * ", "rem "):
+                lines = textwrap.wrap(sentence, width, break_long_words=False, break_on_hyphens=False)
+                texts.append((label, "int main\n" + "\n".join(mark + x for x in lines) + "\n\nand on"))
+    found = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")).collect()}
+    for i, (label, _) in enumerate(texts):
+        assert label in found[i].labels.split(",") and found[i].score >= 0.9
+    words = licenses.TEMPLATES[6][1].split()
+    far = "\n".join(w + " x y z" for w in words)  # the words alone, too far apart
+    assert licenses.scan(spark.createDataFrame([(0, far)], "doc_id long, text string")).first().labels == ""
+
+
 def test_license_join_equals_comparing_all_pairs(spark):
     rng = random.Random(5)
     words = sorted({w for _, t in licenses.TEMPLATES for w in licenses.template_words(t)})
