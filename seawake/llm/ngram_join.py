@@ -5,9 +5,9 @@ whole word sequence is its one shingle; without words its set is empty and it
 links with nothing. Two documents link when ``den * |A & B| >= num * |A | B|``.
 Equal sets are one node from the start.
 
-* Shingles are ordered by a frequency table over all documents (of fixed size;
-  hash buckets), rarest first. A linked pair shares at least l of the first
-  ``n - ceil(t n) + l`` shingles of each, whatever l is.
+* Shingles are ordered by a frequency table over all documents (hash buckets,
+  their number by the size of the input), rarest first. A linked pair shares at
+  least l of the first ``n - ceil(t n) + l`` shingles of each, whatever l is.
 * Each document picks its own l: a longer prefix where the estimated lists of
   its prefix are long. Pair (x, y) is verified only if its prefixes share
   min(l_x, l_y) shingles, and if its sizes allow the threshold.
@@ -17,11 +17,12 @@ Equal sets are one node from the start.
   group (pivots: those whose prefix is commonest) are compared with the members
   of other components only; the last round takes every document as a pivot, so
   that any pair that is still apart has been compared. Groups that have become
-  one component drop out.
+  one component drop out. Of shingles that the same documents have, one counts.
+  A large group is dealt out in parts of about PART members, which meet all its pivots.
 * A pair is dropped early only if it cannot link: by its sizes, or because the
-  parity sketches of its sets (256 bits; a shingle flips one; sets of over
-  WIDE_FROM shingles have longer ones too) differ in more bits than the sets may
-  in shingles.
+  parity sketches of its sets (a shingle flips a bit) differ in more bits than
+  the sets may in shingles. Sketches have 256 bits in small groups, 1024 in large
+  ones; sets of over WIDE_FROM shingles have longer ones too.
 * Verification compares whole shingle sets made from whole texts.
 
 Null text counts as empty. Repeated rows are equal sets and share a component.
@@ -46,12 +47,17 @@ from .components import components
 from .storage import file_count, fresh, small_batches, written
 from .tables import bitmap, in_bitmap
 
-TABLE_BITS = 19
+#: Buckets of the frequency table, as powers of two: at inputs of half a GB and less, and at most.
+TABLE_BITS, MOST_TABLE_BITS = 19, 23
+SEGMENT = 1 << 13
 #: Pivots of a group in each round; None: all its members.
 ROUNDS = (1, 4, None)
 MOST_MATCHES = 4
 SMALL = 16
+#: Members of a part of a large group.
+PART = 256
 SKETCH = ("s0", "s1", "s2", "s3")
+LONG_SKETCH = tuple(f"s{i}" for i in range(16))
 WIDE_FROM = 128
 
 
@@ -85,31 +91,50 @@ def set_names(docs: np.ndarray, h: np.ndarray, n: int, seed: int) -> tuple[np.nd
     return out[0], out[1]
 
 
-def _named(k: int, seed: int) -> Callable:
+def table_bits(size: int) -> int:
+    """A bit more for every fourfold input, so that a group of copies that grows with it stands out from the rest."""
+    return min(MOST_TABLE_BITS, TABLE_BITS + max(0, size.bit_length() - 30) // 2)
+
+
+def _named(k: int, seed: int, bits: int) -> Callable:
+    names = ["doc_id", "h", "n", "node", "check", "segment", "counts"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << TABLE_BITS, np.int64)
+        table = np.zeros(1 << bits, np.int32)
         for batch in batches:
             for w in K.hashed_words(batch["text"], lower=True):
                 docs, h, n = shingle_sets(w, k)
                 a, b = set_names(docs, h, len(n), seed)
-                table += np.bincount((h >> K.U64(64 - TABLE_BITS)).astype(np.int64), minlength=len(table))
+                np.add.at(table, (h >> K.U64(64 - bits)).astype(np.int64), 1)
                 rows = len(n)
-                yield pa.record_batch([batch["doc_id"].slice(w.lo, rows), batch["h"].slice(w.lo, rows), pa.array(n, pa.int64()), pa.array(K.signed(a)), pa.array(K.signed(b)), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int64())], names=["doc_id", "h", "n", "node", "check", "bucket", "count"])
-        full = np.flatnonzero(table)
-        for lo in range(0, len(full), 1 << 16):
-            part = full[lo : lo + (1 << 16)]
-            none = pa.nulls(len(part), pa.int64())
-            yield pa.record_batch([none, none, none, none, none, pa.array(part, pa.int32()), pa.array(table[part])], names=["doc_id", "h", "n", "node", "check", "bucket", "count"])
+                yield pa.record_batch([batch["doc_id"].slice(w.lo, rows), batch["h"].slice(w.lo, rows), pa.array(n, pa.int64()), pa.array(K.signed(a)), pa.array(K.signed(b)), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
+        for i, part in enumerate(table.reshape(-1, SEGMENT)):
+            if part.any():
+                none = pa.nulls(1, pa.int64())
+                yield pa.record_batch([none, none, none, none, none, pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=names)
 
     return K.tidy(run)
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, counts in zip(batch["segment"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+            sums.setdefault(i, np.zeros(SEGMENT, np.int64))[:] += np.frombuffer(counts, np.int32)
+    yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["segment", "counts"])
+
+
+def bucket_of(h: np.ndarray, table: np.ndarray) -> np.ndarray:
+    return (h >> K.U64(65 - len(table).bit_length())).astype(np.int64)
+
+
 def prefix_of(docs: np.ndarray, h: np.ndarray, n: np.ndarray, table: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Shingles in the global order with each document's first one, prefix length, l and centrality."""
-    load = table[(h >> K.U64(64 - TABLE_BITS)).astype(np.int64)].astype(np.float64)
+    load = table[bucket_of(h, table)].astype(np.float64)
     order = np.lexsort((h, load, docs))
     h, load = h[order], load[order]
-    extra = np.maximum(load - 2 * max(1.0, float(table.mean())), 0.0)
+    mean = float(table.mean())
+    extra = np.maximum(load - (mean + 8 * mean**0.5 + 64), 0.0)  # beyond what a bucket has by chance
     sums = np.concatenate([[0.0], np.cumsum(extra)])
     logs = np.concatenate([[0.0], np.cumsum(np.log1p(load))])
     begin = np.searchsorted(docs, np.arange(len(n)))
@@ -127,9 +152,14 @@ def prefix_of(docs: np.ndarray, h: np.ndarray, n: np.ndarray, table: np.ndarray,
 
 
 def parity_sketches(docs: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
-    """int64 matrix (document, 4): every shingle flips one of 256 bits."""
-    flips = np.bincount(docs * 256 + (h & K.U64(255)).astype(np.int64), minlength=n * 256).reshape(n, 256) & 1
-    return np.packbits(flips.astype(bool), axis=1, bitorder="little").view(np.int64)
+    """int64 matrix (document, 16): every shingle flips one of 1024 bits."""
+    out = np.zeros((n, 16), np.int64)
+    for lo in range(0, n, 1024):
+        i, j = np.searchsorted(docs, [lo, lo + 1024])
+        rows = min(1024, n - lo)
+        flips = np.bincount((docs[i:j] - lo) * 1024 + (h[i:j] & K.U64(1023)).astype(np.int64), minlength=rows * 1024) & 1
+        out[lo : lo + rows] = np.packbits(flips.reshape(rows, 1024).astype(bool), axis=1, bitorder="little").view(np.int64)
+    return out
 
 
 def wide_sketch(h: np.ndarray) -> bytes:
@@ -178,8 +208,8 @@ def _prefixed(k: int, num: int, den: int, seed: int, shared) -> Callable:
                 at = np.repeat(begin[new] - np.concatenate([[0], np.cumsum(size[new])[:-1]]), size[new]) + np.arange(size[new].sum())
                 offsets = pa.array(np.concatenate([[0], np.cumsum(size[new])]), pa.int32())
                 yield pa.record_batch(
-                    [pa.array(names[new]), pa.array(n[new], pa.int32()), pa.array(best[new], pa.int32()), pa.array((central[new] * 1000).astype(np.int32)), *(pa.array(sketch[new, i]) for i in range(4)), pa.array([wide.get(i) for i in new.tolist()], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(K.signed(h[at]))), pa.ListArray.from_arrays(offsets, pa.array(hot[at]))],
-                    names=["node", "n", "l", "central", *SKETCH, "wide", "prefix", "hot"],
+                    [pa.array(names[new]), pa.array(n[new], pa.int32()), pa.array(best[new], pa.int32()), pa.array((central[new] * 1000).astype(np.int32)), *(pa.array(np.ascontiguousarray(sketch[new, i])) for i in range(16)), pa.array([wide.get(i) for i in new.tolist()], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(K.signed(h[at]))), pa.ListArray.from_arrays(offsets, pa.array(hot[at]))],
+                    names=["node", "n", "l", "central", *LONG_SKETCH, "wide", "prefix", "hot"],
                 )
 
     return K.tidy(run)
@@ -241,31 +271,47 @@ class JaccardJoin:
         small_batches(self.spark)
 
     def _name_sets(self) -> None:
+        bits = table_bits(int(self.docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         for seed in range(8):
-            rows = written(self.docs.mapInArrow(_named(self.k, seed), "doc_id long, h long, n long, node long, check long, bucket int, count long"), "sets")
-            self.rows = rows.where("bucket IS NULL").select("doc_id", "h", "n", "node", "check")
+            rows = written(self.docs.mapInArrow(_named(self.k, seed, bits), "doc_id long, h long, n long, node long, check long, segment int, counts binary"), "sets")
+            self.rows = rows.where("segment IS NULL").select("doc_id", "h", "n", "node", "check")
             clash = self.rows.where("n > 0").groupBy("node").agg((F.min("check") != F.max("check")).alias("clash")).where("clash").limit(1)
             if not clash.take(1):
                 break
+        else:
+            raise RuntimeError("different sets had equal names eight times over")
         self.seed = seed
         self.files = file_count(self.spark, self.rows.count())
-        table = np.zeros(1 << TABLE_BITS, np.int64)  # of fixed size, however many documents there are
-        counts = rows.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("count").alias("count")).toArrow()
-        table[counts["bucket"].to_numpy()] = counts["count"].to_numpy()
+        table = np.zeros(1 << bits, np.int64)
+        n = min((1 << bits) // SEGMENT, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        counts = rows.where("segment IS NOT NULL").select("segment", "counts").repartition(n, "segment").mapInArrow(_added, "segment int, counts binary").toArrow()
+        for i, x in zip(counts["segment"].to_pylist(), counts["counts"].to_pylist(), strict=True):
+            table[i * SEGMENT : (i + 1) * SEGMENT] = np.frombuffer(x, np.int64)
         self.table = self.spark.sparkContext.broadcast(table.tobytes())
 
     def _lists(self) -> None:
-        """self.lists(token, node, central): prefix shingles that two nodes or more may have."""
-        self.nodes = written(self.docs.select("text").mapInArrow(_prefixed(self.k, self.num, self.den, self.seed, self.table), "node long, n int, l int, central int, s0 long, s1 long, s2 long, s3 long, wide binary, prefix array<long>, hot array<boolean>"), "prefixes", most=16 * self.files)
-        heads = self.nodes.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "l", "central", *SKETCH)))
+        """Prefix shingles that two nodes or more have, by the size of the group: self.small and self.large."""
+        sketches = ", ".join(f"{c} long" for c in LONG_SKETCH)
+        self.nodes = written(self.docs.select("text").mapInArrow(_prefixed(self.k, self.num, self.den, self.seed, self.table), f"node long, n int, l int, central int, {sketches}, wide binary, prefix array<long>, hot array<boolean>"), "prefixes", most=16 * self.files)
         rows = self.nodes.select("node", F.explode(F.arrays_zip("prefix", "hot")).alias("x")).select(F.col("x.prefix").alias("token"), "node", F.when(F.col("x.hot"), F.pmod(F.hash("node"), F.lit(64)) + 1).otherwise(0).alias("salt"))
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         rows = rows.repartition(n, "token", "salt").dropDuplicates(["token", "salt", "node"])
-        # A shingle that the table calls rare has a short list. The others are dealt out and stay in any case.
+        # A shingle that the table calls rare has a short list. The others are dealt out and counted after.
         several = F.count("*").over(Window.partitionBy("token", "salt"))
-        kept = rows.withColumn("several", several).where("salt > 0 OR several > 1").select("token", "node", ((F.col("salt") == 0) & (F.col("several") <= SMALL)).alias("small"))
-        lists = written(kept.join(heads, "node"), "lists", most=16 * self.files)
-        self.small, self.lists = lists.where("small").drop("small"), lists.where("NOT small").drop("small")
+        kept = written(rows.withColumn("several", several).where("salt > 0 OR several > 1"), "lists", most=16 * self.files)
+        dealt = kept.where("salt > 0").drop("several")
+        sizes = dealt.groupBy("token", "salt").agg(F.count("*").alias("several")).withColumn("several", F.sum("several").over(Window.partitionBy("token")))
+        lists = kept.where("salt = 0").select("token", "node", "several").union(dealt.join(sizes, ["token", "salt"]).where("several > 1").select("token", "node", "several"))
+        folded = [F.expr(f"s{i} ^ s{i + 4} ^ s{i + 8} ^ s{i + 12}").alias(f"s{i}") for i in range(4)]
+        heads = self.nodes.select("node", "n", "l", *folded).dropDuplicates(["node"])
+        self.small = written(lists.where(F.col("several") <= SMALL).select("token", "node").join(heads, "node"), "small", most=16 * self.files)
+        large = lists.where(F.col("several") > SMALL).withColumn("parts", F.ceil(F.col("several") / PART).cast("int"))
+        large = written(large.withColumn("part", F.expr("cast(pmod(xxhash64(node), parts) AS int)")), "large", self.files)
+        same = large.groupBy("token", "parts").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("y"))
+        one = same.groupBy("n", "x", "y").agg(F.min("token").alias("token"), F.first("parts").alias("parts"))
+        one = one.select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        heads = self.nodes.select("node", "n", "l", "central", *LONG_SKETCH).dropDuplicates(["node"])
+        self.large = written(large.join(one, ["token", "part"], "left_semi").join(heads, "node"), "groups", self.files)
 
     def _texts(self, pairs: DataFrame) -> DataFrame:
         """node, text of the nodes of pairs. Documents whose hash is in none of them stay where they are."""
@@ -303,27 +349,30 @@ class JaccardJoin:
         pairs = groups.select(F.inline(F.flatten(F.transform("g", with_others))))
         return pairs.groupBy("a", "b").agg(*(F.first(c).alias(c) for c in ("need", "least", "both")))
 
-    def _candidates(self, most: int | None, comps: DataFrame | None, done: DataFrame | None) -> DataFrame:
-        """a, b, need: pairs of a pivot and another node under a common shingle that may link and are not linked yet."""
-        lists = self.lists
+    def _met(self, most: int | None, comps: DataFrame | None) -> DataFrame:
+        """Rows of a pivot (_a) and another node of its group that may link and are not of one component yet."""
+        lists = self.large
+        whole = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
         if comps is not None:
             lists = lists.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            apart = lists.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("token")
-            lists = written(lists.join(apart, "token", "left_semi"), "apart", self.files)
+            apart = lists.groupBy("token", "parts").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("token", whole)
+            lists = written(lists.join(apart, ["token", "part"], "left_semi"), "apart", self.files)
         else:
             lists = lists.withColumn("comp", F.col("node"))
-        head = ("node", "comp", "n", "l", "central", *SKETCH)
-        if most == 1:
-            pivots = lists.groupBy("token").agg(F.max_by(F.struct(*head), F.struct("central", "node")).alias("p")).select("token", "p.*")
-        elif most:
-            place = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("central"), F.desc("node")))
-            pivots = lists.withColumn("place", place).where(F.col("place") <= most).select("token", *head)
-        else:
-            pivots = lists.select("token", *head)
-        pivots = pivots.select("token", *(F.col(c).alias(f"{c}_a") for c in head))
-        flipped = F.expr(" + ".join(f"bit_count({c} ^ {c}_a)" for c in SKETCH))
+        head = ("node", "comp", "n", "l", "central", *LONG_SKETCH)
+        pivots = lists
+        if most:
+            for key in (("token", "part"), ("token",)):
+                place = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("central"), F.desc("node")))
+                pivots = pivots.withColumn("place", place).where(F.col("place") <= most)
+        pivots = pivots.select("token", whole, *(F.col(c).alias(f"{c}_a") for c in head))
+        flipped = F.expr(" + ".join(f"bit_count({c} ^ {c}_a)" for c in LONG_SKETCH))
         may = self._may(flipped, F.col("n"), F.col("n_a")) & F.expr("comp != comp_a" + ("" if most else " AND node_a < node"))
-        met = lists.hint("merge").join(pivots.hint("merge"), (lists.token == pivots.token) & may)
+        return lists.hint("merge").join(pivots.hint("merge"), (lists.token == pivots.token) & (lists.part == pivots.part) & may)
+
+    def _candidates(self, most: int | None, comps: DataFrame | None, done: DataFrame | None) -> DataFrame:
+        """a, b, need: pairs of a pivot and another node under a common shingle that may link and are not linked yet."""
+        met = self._met(most, comps)
         pairs = met.groupBy(F.col("node_a").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("met"), F.first(F.least("l", "l_a")).alias("need"), F.first(F.least("n", "n_a")).alias("least"), F.first(F.col("n") + F.col("n_a")).alias("both"))
         if comps is None:  # at first one partner each: that with which it shares most
             pairs = pairs.groupBy("b").agg(F.max_by(F.struct("a", "need", "least", "both"), F.struct("met", "a")).alias("p")).select("b", "p.*")
