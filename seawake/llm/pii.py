@@ -9,45 +9,74 @@ ones different pseudonyms:
 * IBANs (mod 97 holds; words that follow are not taken in): letters and digits
   of the account part, check digits anew;
 * telephone numbers (+ and 8 to 15 digits, or three groups of a North American
-  number, a 1 before them or not): the digits after the country code;
-* US social security numbers, IPv4 addresses, dates (ISO, or d/m/y with valid
-  day and month): within the valid values of their form;
-* e-mail addresses: letters and digits of all but the last label;
+  number, a 1 before them or not): the digits after the country code. A North
+  American number is one value in all its spellings, with code 1 or without;
+* US social security numbers and IPv4 addresses (not after a word for a
+  version): within the valid values of their form;
+* dates (year, month, day, or day, month, year, or month, day, year where the day is
+  over 12): within their century and their class: a month of one or two digits, a
+  day of one digit, up to 12, or over. So padding and order stay as they are,
+  different dates stay different, and a date is linked over all its forms.
+  Years of two digits (d/m/y) are a form of their own, not linked to the others;
+* e-mail addresses: letters and digits of all but the last label; upper and lower
+  case are one value, and capitals stay where they are;
 * secrets (key, token, secret or password, = or :, then a value; access key ids):
-  letters and digits.
+  letters and digits, in blocks of BLOCK characters.
 
 The permutation is a Feistel network over [0, n) with HMAC-SHA256 rounds, walked
 until it lands inside the format. Text around values does not change. A value
-that would map to itself is walked on once more, so none stays as it was.
+that would map to itself is walked on once more, so none stays as it was, unless
+its class has no other value. Whoever has the key can undo it, so none is built in:
+give one, or let session_key() take it from the session's settings.
+
+What is left in clear: numbers that fail their check, e-mail local parts beyond 64
+characters, years 0, dates of two-digit years written with dots or dashes.
 
 Null text stays null, an empty one empty. Null and repeated ids and repeated
-rows are rows of their own; other columns pass through unchanged. An empty
-table gives an empty result.
+rows are rows of their own; other columns pass through unchanged (a column of
+the report whose name is taken gets an underscore before it). An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import hmac
 import re
+import secrets
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from .storage import small_batches
 
-KEY = b"seawake pseudonyms"  # a default for tests; give your own
+#: The session's setting that holds the key.
+KEY_SETTING = "spark.seawake.pseudonyms.key"
 ROUNDS = 8
+#: Characters that are permuted at once.
+BLOCK = 64
+# Country codes of telephone numbers of one and two digits (ITU-T E.164); the others have three.
+CODES = tuple("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 #: Characters of an IBAN by country (ISO 13616 registry); others may have any length from 15 to 34.
 IBAN_LENGTHS = {c: n for n, cs in {
     15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
     23: "AE GI IL IQ OM TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
 }.items() for c in cs.split()}
+_session_keys: dict[str, bytes] = {}
 KINDS = ("email", "secret", "iban", "phone", "date", "ip", "ssn", "card")
 
 
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session's settings name; without one, a random key that lasts as long as the application."""
+    named = spark.conf.get(KEY_SETTING, None)
+    if named:
+        return named.encode()
+    return _session_keys.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
+
+
 def _round(key: bytes, tweak: bytes, i: int, x: int, size: int) -> int:
     data = tweak + b"|%d|" % i + x.to_bytes((x.bit_length() + 7) // 8 or 1, "big")
     out = hmac.new(key, data, hashlib.sha256).digest()
@@ -99,7 +128,11 @@ def _symbols(text: str, hexadecimal: bool = False) -> list[tuple[str, str]]:
 
 
 def scramble(text: str, key: bytes, tweak: bytes, hexadecimal: bool = False) -> str:
-    """Permute text among all texts with the same pattern of digits and letters."""
+    """Permute text among all texts with the same pattern of digits and letters, a block at a time."""
+    return "".join(_scrambled(text[lo : lo + BLOCK], key, tweak + b"|%d" % lo if lo else tweak, hexadecimal) for lo in range(0, len(text), BLOCK))
+
+
+def _scrambled(text: str, key: bytes, tweak: bytes, hexadecimal: bool) -> str:
     symbols = _symbols(text, hexadecimal)
     x, n = 0, 1
     for c, alphabet in symbols:
@@ -155,23 +188,33 @@ def _iban(m: re.Match, key: bytes) -> tuple[str, str] | None:
     return None
 
 
+def _national(digits: str, code: str, key: bytes) -> str:
+    """Pseudonym of a number without its country code; a valid North American number stays one."""
+    if code == "1" and len(digits) == 10 and digits[0] > "1" and digits[3] > "1":
+        n = int(digits)
+        area, office, line = n // 10**7 - 200, n // 10**4 % 1000 - 200, n % 10**4
+        y, line = divmod(changed((area * 800 + office) * 10**4 + line, 800 * 800 * 10**4, key, b"phone1"), 10**4)
+        return f"{y // 800 + 200}{y % 800 + 200}{line:04d}"
+    return scramble(digits, key, b"phone" + code.encode())
+
+
 def _phone(m: re.Match, key: bytes) -> tuple[str, str] | None:
     for form in _shorter(m[0]):
         digits = re.sub(r"\D", "", form)
         if not form.startswith("+"):
-            code = "1" if len(digits) == 11 else ""
+            code, shown = "1", len(digits) == 11
         elif not 8 <= len(digits) <= 15:
             continue
         else:
-            code = re.match(r"\+(\d{1,3})", form)[1]
-            code = code if len(code) < len(digits) - 5 else code[:1]
-        return form, _refill(form, code + scramble(digits[len(code) :], key, b"phone" + code.encode()))
+            code, shown = next((c for c in CODES if digits.startswith(c)), digits[:3]), True
+        rest = digits[len(code) :] if shown else digits
+        return form, _refill(form, (code if shown else "") + _national(rest, code, key))
     return None
 
 
 def _ip(m: re.Match, key: bytes) -> str | None:
     parts = [int(x) for x in m[0].split(".")]
-    if any(p > 255 for p in parts):
+    if any(p > 255 for p in parts) or _VERSION.search(m.string[max(0, m.start() - 12) : m.start()]):
         return None
     y = changed(int.from_bytes(bytes(parts), "big"), 1 << 32, key, b"ip")
     return ".".join(map(str, y.to_bytes(4, "big")))
@@ -189,33 +232,53 @@ def _ssn(m: re.Match, key: bytes) -> str | None:
     return f"{area + (area >= 666):03d}-{group + 1:02d}-{serial + 1:04d}"
 
 
-_FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
-_DAYS = datetime.date(2100, 1, 1).toordinal() - _FIRST_DAY
+_classes: dict[tuple, list[tuple[int, int, int]]] = {}
+
+
+def _class(y: int, mo: int, d: int) -> tuple:
+    """What a pseudonym shares with its date: century, width of the month, and whether the day has one digit, could be a month, or neither."""
+    return y // 100, mo > 9, (d > 9) + (d > 12)
+
+
+def _dates(century: int) -> None:
+    day, end = datetime.date(max(1, century * 100), 1, 1), century * 100 + 99
+    while day.year <= end:
+        _classes.setdefault(_class(day.year, day.month, day.day), []).append((day.year, day.month, day.day))
+        if (day.year, day.month, day.day) == (9999, 12, 31):
+            break
+        day += datetime.timedelta(1)
 
 
 def _date(m: re.Match, key: bytes) -> str | None:
     a, mark, b, c = m["a"], m["mark"], m["b"], m["c"]
     year_first = len(a) == 4
-    if year_first == (len(c) == 4):
+    if year_first == (len(c) == 4) and not (mark == "/" and len(a) < 3 and len(c) == 2):
         return None
     y, mo, d = (int(a), int(b), int(c)) if year_first else (int(c), int(b), int(a))
     month_first = not year_first and mo > 12 >= d
     if month_first:
         mo, d = d, mo
+    short = not year_first and len(c) == 2
+    y += 2000 * short
     try:
-        at = datetime.date(y, mo, d).toordinal() - _FIRST_DAY
+        datetime.date(y, mo, d)
     except ValueError:
         return None
-    if not 0 <= at < _DAYS:
-        return None
-    day = datetime.date.fromordinal(changed(at, _DAYS, key, b"date") + _FIRST_DAY)
-    parts = [f"{day.year:04d}", f"{day.month:02d}", f"{day.day:02d}"] if year_first else [f"{day.month:02d}", f"{day.day:02d}", f"{day.year:04d}"] if month_first else [f"{day.day:02d}", f"{day.month:02d}", f"{day.year:04d}"]
-    return mark.join(parts)
+    of = _class(y, mo, d)
+    if of not in _classes:
+        _dates(of[0])
+    same = _classes[of]
+    tweak = b"date%d|%d|%d|%d" % (short, *of)
+    y, mo, d = same[changed(bisect.bisect_left(same, (y, mo, d)), len(same), key, tweak)]
+    new = (f"{y:04d}", mo, d) if year_first else (mo, d) if month_first else (d, mo)
+    parts = [x if isinstance(x, str) else f"{x:0{len(old)}d}" for x, old in zip(new, (a, b, c), strict=False)]
+    return mark.join(parts if year_first else [*parts, f"{y % 100:02d}" if short else f"{y:04d}"])
 
 
 def _email(m: re.Match, key: bytes) -> str | None:
     head, last = m[0].rsplit(".", 1)
-    return f"{scramble(head, key, b'email')}.{last}"
+    new = scramble(head.lower(), key, b"email")
+    return "".join(x.upper() if old.isupper() else x for x, old in zip(new, head, strict=True)) + f".{last}"
 
 
 def _secret(m: re.Match, key: bytes) -> str | None:
@@ -226,8 +289,9 @@ def _secret(m: re.Match, key: bytes) -> str | None:
     return m[0][:at] + scramble(value, key, b"secret", bool(re.fullmatch(r"[0-9a-f]+", value))) + m[0][at + len(value) :]
 
 
-_EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
-_SECRET = re.compile(r"(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?\s*[:=]\s*(?:(?P<quote>[\"'])(?P<value>[A-Za-z0-9+/=_.-]{8,})(?P=quote)|(?P<bare>(?=[A-Za-z_+/=-]*\d)[A-Za-z0-9+/=_-]{8,}))|(?<![A-Za-z0-9])(?:AKIA|ASIA)(?P<id>[A-Z0-9]{16})(?![A-Za-z0-9])")
+#: Where an address may end before its @, and what follows it.
+_LOCAL, _DOMAIN = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}\Z"), re.compile(r"@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,9}\.[A-Za-z]{2,63}")
+_SECRET = re.compile(r"(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?\s{0,9}[:=]\s{0,9}(?:(?P<quote>[\"'])(?P<value>[A-Za-z0-9+/=_.-]{8,})(?P=quote)|(?P<bare>(?=[A-Za-z_+/=-]{0,255}\d)[A-Za-z0-9+/=_-]{8,}))|(?<![A-Za-z0-9])(?:AKIA|ASIA)(?P<id>[A-Z0-9]{16})(?![A-Za-z0-9])")
 #: What begins with a digit, a plus or a country code is looked at only where a digit stands.
 _NUMBER = re.compile(
     r"(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
@@ -238,10 +302,29 @@ _NUMBER = re.compile(
     r"|(?<!\d)(?P<card>\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}|\d{4}(?P<gap2>[ -])\d{6}(?P=gap2)\d{4,5})(?!\d)"
 )
 _DIGIT = re.compile(r"\d")
+_VERSION = re.compile(r"(?i)\b(?:v|ver|vers|version|release|rev|revision|build)[.:]?\s?\Z")
+
+
+class _Addresses:
+    """search() as of a pattern, in time that a long run of letters does not square."""
+
+    @staticmethod
+    def search(text: str, at: int = 0) -> re.Match | None:
+        sign = text.find("@", at)
+        while sign >= 0:
+            after = _DOMAIN.match(text, sign)
+            before = after and _LOCAL.search(text[max(at, sign - 64) : sign])
+            if before:
+                return _WHOLE.match(text, sign - len(before[0]), after.end())
+            sign = text.find("@", sign + 1)
+        return None
+
+
+_WHOLE = re.compile(r"(?s).+")
 _MAKERS: dict[str, Callable] = {"iban": _iban, "phone": _phone, "date": _date, "ip": _ip, "ssn": _ssn, "card": _card}
 
 
-def pseudonymize(text: str, key: bytes = KEY) -> tuple[str, dict[str, int]]:
+def pseudonymize(text: str, key: bytes) -> tuple[str, dict[str, int]]:
     """The text with pseudonyms, and how many of each kind."""
     counts: dict[str, int] = {}
 
@@ -259,7 +342,7 @@ def pseudonymize(text: str, key: bytes = KEY) -> tuple[str, dict[str, int]]:
 
     # Each pass leaves alone what an earlier one has made.
     parts = [(text, True)]
-    for kind, pattern, make, mark in (("email", _EMAIL, _email, "@"), ("secret", _SECRET, _secret, "secret"), ("", _NUMBER, None, "")):
+    for kind, pattern, make, mark in (("email", _Addresses, _email, "@"), ("secret", _SECRET, _secret, "secret"), ("", _NUMBER, None, "")):
         if mark == "@" and "@" not in text or len(mark) > 1 and "=" not in text and ":" not in text and "AKIA" not in text and "ASIA" not in text:
             continue
         after = []
@@ -280,7 +363,7 @@ def pseudonymize(text: str, key: bytes = KEY) -> tuple[str, dict[str, int]]:
     return "".join(p for p, _ in parts), counts
 
 
-def _masked(key: bytes, report: bool) -> Callable:
+def _masked(key: bytes, report: list[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts = [], []
@@ -288,18 +371,24 @@ def _masked(key: bytes, report: bool) -> Callable:
                 new, n = (None, {}) if text is None else pseudonymize(text, key)
                 texts.append(new)
                 counts.append(n)
-            columns = [batch[c] if c != "text" else pa.array(texts, pa.string()) for c in batch.schema.names]
-            names = list(batch.schema.names)
+            columns = [x if c != "text" else pa.array(texts, pa.string()) for c, x in zip(batch.schema.names, batch.columns, strict=True)]
             if report:
                 columns += [pa.array([n.get(k, 0) for n in counts], pa.int32()) for k in KINDS]
-                names += [f"n_{k}" for k in KINDS]
-            yield pa.record_batch(columns, names=names)
+            yield pa.record_batch(columns, names=[*batch.schema.names, *report])
 
     return run
 
 
-def pseudonymize_documents(docs: DataFrame, key: bytes = KEY, report: bool = False) -> DataFrame:
+def pseudonymize_documents(docs: DataFrame, key: bytes, report: bool = False) -> DataFrame:
     """docs with pseudonyms in text; report adds the number of values of each kind (n_email, ...)."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
     small_batches(docs.sparkSession)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ("".join(f", n_{k} int" for k in KINDS) if report else "")
-    return docs.mapInArrow(_masked(key, report), schema)
+    have, names = {c.lower() for c in docs.columns}, []
+    for k in KINDS if report else ():
+        name = f"n_{k}"
+        while name in have:
+            name = f"_{name}"
+        names.append(name)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + "".join(f", {n} int" for n in names)
+    return docs.mapInArrow(_masked(key, names), schema)

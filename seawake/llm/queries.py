@@ -10,7 +10,7 @@ from .licenses import license_report
 from .mixing import mix_report
 from .ngram_join import near_duplicate_classes
 from .packing import pack
-from .pii import pseudonymize_documents
+from .pii import pseudonymize_documents, session_key
 from .quality import Resampler
 from .repeats import remove_repeats
 from .rules import quality_rules
@@ -58,7 +58,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymize_documents(_documents(spark, sf_dir).select("doc_id", "text"), report=True)
+    return pseudonymize_documents(_documents(spark, sf_dir).select("doc_id", "text"), session_key(spark), report=True)
 
 
 QUERIES = {
