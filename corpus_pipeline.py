@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from seawake.llm.mixing import Mixture
 from seawake.llm.ngram_join import without_near_duplicates
 from seawake.llm.packing import pack
-from seawake.llm.pii import pseudonymize_documents
+from seawake.llm.pii import pseudonymize_documents, session_key
 from seawake.llm.quality import Resampler
 from seawake.llm.storage import written
 
@@ -32,7 +32,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pseudonymize_documents(docs)
+    return pseudonymize_documents(docs, session_key(spark))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
