@@ -9,11 +9,13 @@
 * Blocks: each source's documents, shuffled by a hash of doc_id, are cut into
   blocks of ``block`` words. The slot of rank r takes block r modulo the number
   of blocks, the last slot only as much as the target still wants. So each
-  source's taken words are its rounded target.
+  source's taken words are its rounded target, and a document's slots tell where
+  in the mix it stands: mix() gives documents in the order of their slots, each
+  once for every pass over its source that takes any of it.
 
 Ranks and positions are prefix sums of two levels, so that no source, however
 hot, is ordered in one task. A null text has size 0 and takes 0; documents
-without words keep their rows. Null and repeated ids and repeated rows are rows of
+without words keep their rows, without a slot. Null and repeated ids and repeated rows are rows of
 their own. Extra columns are ignored, or kept by mix(). An empty table gives an
 empty result. The number of sources must not exceed MOST_SOURCES.
 """
@@ -93,7 +95,8 @@ class Mixture:
 
     def _placed(self, rows: DataFrame) -> DataFrame:
         """start: words of the same source before the document in hash order."""
-        rows = rows.withColumn("key", F.md5(F.concat(F.lit("mix-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
+        # Rows without an id are told apart by their text.
+        rows = rows.withColumn("key", F.md5(F.concat(F.lit("mix-"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null-"), F.col("h").cast("string"))))))
         rows = rows.withColumn("part", F.substring("key", 1, 3))
         parts = rows.groupBy("source_no", "part").agg(F.sum("size").alias("words"))
         before = Window.partitionBy("source_no").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -103,12 +106,12 @@ class Mixture:
         return placed.select("doc_id", "source", "h", "size", "source_no", "source_size", "target", (F.col("base") + F.col("inner")).alias("start"))
 
     def schedule(self) -> DataFrame:
-        """slot, source_no, rank, block_no, words of every slot, in the order of the mix."""
+        """slot, source_no, rank, block_no, words and pass (over the source, from 0) of every slot."""
         plan = self.plan.toArrow().sort_by("source_no")
         slots = plan["slots"].to_numpy()
         n = int(slots.sum())
         if not n:
-            return self.spark.createDataFrame([], "slot long, source_no int, rank long, block_no long, words long")
+            return self.spark.createDataFrame([], "slot long, source_no int, rank long, block_no long, words long, pass long")
         edges = np.cumsum(slots) / n
         parts = max(1, min(20_000, n // CHUNK_SLOTS))
         drawn = self.spark.range(0, n, 1, parts).mapInArrow(_slots(edges), "slot long, source_no int").withColumn("chunk", F.floor(F.col("slot") / CHUNK_SLOTS))
@@ -123,34 +126,36 @@ class Mixture:
         slots_of = ranked.unionByName(short).join(self.plan, "source_no").where("rank < slots")
         start = F.expr("floor(rank / blocks)") * F.col("source_size") + F.expr("rank % blocks") * self.block
         words = F.least(F.lit(self.block), F.col("source_size") - F.expr("rank % blocks") * self.block, F.col("wanted") - start)
-        return slots_of.select("slot", "source_no", "rank", F.expr("rank % blocks").alias("block_no"), words.alias("words"))
+        return slots_of.select("slot", "source_no", "rank", F.expr("rank % blocks").alias("block_no"), words.alias("words"), F.expr("floor(rank / blocks)").alias("pass"))
 
-    def taken(self) -> DataFrame:
-        """doc_id, source, h, size, source_size, target, taken of every row."""
-        blocks = self.schedule().groupBy("source_no", "block_no", "words").agg(F.count("*").alias("times"))
+    def _met(self) -> DataFrame:
+        """Documents with words, cut at the ends of blocks, met with the slots that take the blocks: overlap is in words."""
         some = self.places.where("size > 0")
         pieces = some.withColumn("block_no", F.explode(F.sequence(F.floor(F.col("start") / self.block), F.floor((F.col("start") + F.col("size") - 1) / self.block))))
         begin = F.col("block_no") * self.block
         overlap = F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), begin + F.col("words")) - F.greatest("start", begin))
-        met = pieces.join(blocks, ["source_no", "block_no"], "left").withColumn("taken", F.coalesce(overlap * F.col("times"), F.lit(0)))
+        return pieces.join(self.schedule(), ["source_no", "block_no"], "left").withColumn("overlap", F.when(F.col("words").isNotNull(), overlap).otherwise(0))
+
+    def taken(self) -> DataFrame:
+        """doc_id, source, h, size, source_size, target, taken, first_slot (null: not taken) of every row."""
         keys = ["source_no", "start", "doc_id", "source", "h", "size", "source_size", "target"]  # source and start tell documents with words apart
-        out = met.groupBy(*keys).agg(F.sum("taken").alias("taken"))
-        columns = ["doc_id", "source", "h", "size", "source_size", "target", "taken"]
-        return out.select(*columns).unionByName(self.places.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(*columns))
+        out = self._met().groupBy(*keys).agg(F.sum("overlap").alias("taken"), F.min(F.when(F.col("overlap") > 0, F.col("slot"))).alias("first_slot"))
+        columns = ["doc_id", "source", "h", "size", "source_size", "target", "taken", "first_slot"]
+        none = self.places.where("size = 0").withColumn("taken", F.lit(0).cast("long")).withColumn("first_slot", F.lit(None).cast("long"))
+        return out.select(*columns).unionByName(none.select(*columns))
 
     def mix(self, docs: DataFrame) -> DataFrame:
-        """docs as often as the mix touches them: once for each pass over their source that takes any of their words.
+        """docs as often as the mix takes any of their words in a pass over their source, in the order of their first slot in that pass.
 
-        Documents without words are left out. Of rows equal in doc_id, source and text all get the largest count.
+        Documents without words are left out. Rows equal in doc_id, source and text all get the passes of any of them.
         """
-        key, id_, source, h, times, turn = fresh(docs, "key", "id", "source", "h", "times", "turn")
-        passes = F.ceil(F.col("taken") / F.col("size")).cast("int")
-        takes = self.taken().where("taken > 0").groupBy(F.col("doc_id").alias(id_), F.col("source").alias(source), F.col("h").alias(h)).agg(F.max(passes).alias(times))
+        key, id_, source, h, slot, turn, start = fresh(docs, "key", "id", "source", "h", "slot", "turn", "start")
+        takes = self._met().where("overlap > 0").groupBy(F.col("doc_id").alias(id_), F.col("source").alias(source), F.col("h").alias(h), F.col("pass").alias(turn)).agg(F.min("slot").alias(slot), F.min("start").alias(start))
         keyed = docs.withColumn(key, F.xxhash64("text"))
         met = keyed.join(takes, (F.col(key) == F.col(h)) & F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & F.col("source").cast("string").eqNullSafe(F.col(source)))
-        return met.withColumn(turn, F.explode(F.sequence(F.lit(1), times))).select(*(F.col(f"`{c}`") for c in docs.columns))
+        return met.orderBy(slot, start, id_, turn).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target (to 6 places), taken."""
-    return Mixture(docs).taken().select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    """doc_id, size, source_size, target (to 6 places), taken, first_slot."""
+    return Mixture(docs).taken().select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "first_slot")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import licenses, rules
 from .fingerprints import edit_fingerprints
 from .licenses import license_report
-from .mixing import mix_report
+from .mixing import BLOCK_WORDS, GOLDEN, mix_report
 from .ngram_join import near_duplicate_classes
 from .packing import pack
 from .pii import pseudonymize_documents, session_key
@@ -175,16 +175,42 @@ ORACLE_SQL: dict[str, str] = {
             SELECT ((SELECT sum(source_size) FROM s) - coalesce(capped, 0)) / weights AS level FROM o
             WHERE cap > ((SELECT sum(source_size) FROM s) - coalesce(capped, 0)) / weights * weight ORDER BY rank LIMIT 1
         ), t AS (
-            SELECT w.source, w.source_size, least(cap, coalesce((SELECT level FROM l) * weight, cap)) AS target FROM w
+            SELECT w.no, w.source, w.source_size, least(cap, coalesce((SELECT level FROM l) * weight, cap)) AS target FROM w
         ), p AS (
-            SELECT d.doc_id, d.size, t.source_size, t.target, CAST(round_even(t.target, 0) AS BIGINT) AS wanted,
+            SELECT d.doc_id, d.size, t.no - 1 AS no, t.source_size, t.target,
                    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('mix-' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), d.doc_id, d.size
                                               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
             FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+        ), k AS (
+            SELECT DISTINCT t.no - 1 AS no, t.source, t.source_size, CAST(round_even(t.target, 0) AS BIGINT) AS wanted, (t.source_size + {block} - 1) // {block} AS blocks FROM t
+        ), n AS (
+            SELECT *, CASE WHEN source_size > 0 THEN wanted // source_size * blocks + (wanted % source_size + {block} - 1) // {block} ELSE 0 END AS slots FROM k
+        ), e AS (
+            SELECT *, sum(slots) OVER (ORDER BY no) / CAST((SELECT sum(slots) FROM n) AS DOUBLE) AS upper FROM n
+        ), r AS (  -- the schedule: slot i falls where the fractional part of (i + 1/2) times the golden ratio lies
+            SELECT i, (i + 0.5e0) * {golden}e0 - floor((i + 0.5e0) * {golden}e0) AS point FROM range(CAST((SELECT sum(slots) FROM n) AS BIGINT)) AS x(i)
+        ), f AS (
+            SELECT i, (SELECT least(count(*), (SELECT max(no) FROM n)) FROM e WHERE upper <= point) AS no FROM r
+        ), g AS (
+            SELECT i AS slot, no, row_number() OVER (PARTITION BY no ORDER BY i) - 1 AS rank FROM f
+        ), y AS (  -- what a source lacks comes after
+            SELECT * FROM g
+            UNION ALL
+            SELECT (SELECT count(*) FROM r) + n.no, n.no, unnest(range(CAST(coalesce(h.had, 0) AS BIGINT), CAST(n.slots AS BIGINT))) FROM n LEFT JOIN (SELECT no, count(*) AS had FROM g GROUP BY no) h ON h.no = n.no
+        ), z AS (
+            SELECT y.slot, n.no, rank % blocks AS block_no,
+                   least({block}, source_size - rank % blocks * {block}, wanted - (rank // blocks * source_size + rank % blocks * {block})) AS words
+            FROM y JOIN n ON n.no = y.no WHERE rank < slots
+        ), b AS (
+            SELECT p.*, unnest(range(CAST(start // {block} AS BIGINT), CAST((start + size - 1) // {block} + 1 AS BIGINT))) AS block_no FROM p WHERE size > 0
+        ), o2 AS (
+            SELECT b.doc_id, b.size, b.start, b.source_size, b.no, b.target, z.slot,
+                   CASE WHEN z.words IS NULL THEN 0 ELSE greatest(0, least(b.start + b.size, b.block_no * {block} + z.words) - greatest(b.start, b.block_no * {block})) END AS overlap
+            FROM b LEFT JOIN z ON z.no = b.no AND z.block_no = b.block_no
         )
-        SELECT doc_id, size, source_size, round(target, 6) AS target,
-               CASE WHEN size = 0 THEN CAST(0 AS BIGINT)
-                    ELSE CAST(wanted // source_size * size + greatest(0, least(size, wanted % source_size - start)) AS BIGINT) END AS taken
-        FROM p
-    """,
+        SELECT doc_id, size, source_size, round(target, 6) AS target, CAST(sum(coalesce(overlap, 0)) AS BIGINT) AS taken, CAST(min(CASE WHEN overlap > 0 THEN slot END) AS BIGINT) AS first_slot
+        FROM o2 GROUP BY no, start, doc_id, size, source_size, target
+        UNION ALL
+        SELECT doc_id, size, source_size, round(target, 6), CAST(0 AS BIGINT), NULL FROM p WHERE size = 0
+    """.replace("{block}", str(BLOCK_WORDS)).replace("{golden}", repr(GOLDEN)),
 }
