@@ -45,11 +45,10 @@ from pyspark.sql import Window
 from . import kernels as K
 from .components import components
 from .storage import file_count, fresh, small_batches, written
-from .tables import bitmap, in_bitmap
+from .tables import bitmap, in_bitmap, segments_of, summed
 
 #: Buckets of the frequency table, as powers of two: at inputs of half a GB and less, and at most.
 TABLE_BITS, MOST_TABLE_BITS = 19, 23
-SEGMENT = 1 << 13
 #: Pivots of a group in each round; None: all its members.
 ROUNDS = (1, 4, None)
 MOST_MATCHES = 4
@@ -108,22 +107,13 @@ def _named(k: int, seed: int, bits: int) -> Callable:
                 np.add.at(table, (h >> K.U64(64 - bits)).astype(np.int64), 1)
                 rows = len(n)
                 yield pa.record_batch([batch["doc_id"].slice(w.lo, rows), batch["h"].slice(w.lo, rows), pa.array(n, pa.int64()), pa.array(K.signed(a)), pa.array(K.signed(b)), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
-        for i, part in enumerate(table.reshape(-1, SEGMENT)):
-            if part.any():
-                none = pa.nulls(1, pa.int64())
-                yield pa.record_batch([none, none, none, none, none, pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=names)
+        none = pa.nulls(1, pa.int64())
+        for part in segments_of(table):
+            yield pa.record_batch([none, none, none, none, none, part["segment"], part["counts"]], names=names)
 
     return K.tidy(run)
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for i, counts in zip(batch["segment"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-            sums.setdefault(i, np.zeros(SEGMENT, np.int64))[:] += np.frombuffer(counts, np.int32)
-    yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["segment", "counts"])
-
-
 def bucket_of(h: np.ndarray, table: np.ndarray) -> np.ndarray:
     return (h >> K.U64(65 - len(table).bit_length())).astype(np.int64)
 
@@ -282,11 +272,7 @@ class JaccardJoin:
             raise RuntimeError("different sets had equal names eight times over")
         self.seed = seed
         self.files = file_count(self.spark, self.rows.count())
-        table = np.zeros(1 << bits, np.int64)
-        n = min((1 << bits) // SEGMENT, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        counts = rows.where("segment IS NOT NULL").select("segment", "counts").repartition(n, "segment").mapInArrow(_added, "segment int, counts binary").toArrow()
-        for i, x in zip(counts["segment"].to_pylist(), counts["counts"].to_pylist(), strict=True):
-            table[i * SEGMENT : (i + 1) * SEGMENT] = np.frombuffer(x, np.int64)
+        table = summed(rows.where("segment IS NOT NULL").select("segment", "counts"), 1 << bits)
         self.table = self.spark.sparkContext.broadcast(table.tobytes())
 
     def _lists(self) -> None:

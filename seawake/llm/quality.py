@@ -2,15 +2,19 @@
 
 Two generative models of hashed n-grams are counted: one of raw text (every
 document), one of target text (documents labelled good, by half of a bounded
-sample of the labels). A document's log weight is the sum over its n-grams of
-log p_target - log p_raw, divided by its number of words, so that length
-decides nothing. Documents are drawn without replacement by Gumbel
+sample of the labels). The target model is the raw one where the sample is silent:
+a bucket's probability is that of raw text, times (count + SMOOTHING) / (expected
+count + SMOOTHING). A document's log weight is the sum over its n-grams of
+log p_target - log p_raw. Sums grow with length, and with them certainty, so a
+document counts for LENGTH words at most: of a longer one the sum is that of
+LENGTH of its average words. Documents are drawn without replacement by Gumbel
 top-k: the k largest of ``log weight / temperature + Gumbel noise``, the noise
-being a hash of the document, so that reruns agree.
+being a hash of the document, so that reruns agree. So a document near the cut
+is drawn with a chance; far from it the weight decides.
 
 n-grams are words, word pairs, word shapes (character classes present, first
 and last class, length, whether the word repeats its predecessor) and pairs of
-shapes. k is the number of documents whose log weight exceeds the cut that best
+shapes, each in 2**BITS buckets. k is the number of documents whose log weight exceeds the cut that best
 separates the other half of the sample; the k-th key is found by narrowing a histogram
 of fixed size, and ties at it stay.
 
@@ -33,13 +37,15 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .storage import small_batches, written
+from .tables import SEGMENTS, segments_of, summed
 
-#: Words and word pairs share few buckets, so that words the target sample lacks say little.
-WORD_BITS, SHAPE_BITS = 10, 14
-BUCKETS = 2 << WORD_BITS | 2 << SHAPE_BITS
+#: Buckets of each of the four orders of n-grams, as a power of two.
+BITS = 16
+BUCKETS = 4 << BITS
+SMOOTHING, LENGTH = 4.0, 32
 #: Bound of the labelled sample, drawn by hash of doc_id.
 MOST_LABELS = 20_000
-TEMPERATURE = 0.05
+TEMPERATURE = 1.0
 BINS = 4096
 
 _CLASS = np.full(256, 4, np.uint8)  # other ASCII
@@ -68,29 +74,36 @@ def features(w: K.Words) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         pair = w.hashes[second] * K.U64(3) + w.hashes[second - 1]
         shapes = shape[second] << K.U64(32) | shape[second - 1]
-    parts, first = [], 0
-    for x, bits, seed in ((w.hashes, WORD_BITS, 21), (pair, WORD_BITS, 22), (shape, SHAPE_BITS, 23), (shapes, SHAPE_BITS, 24)):
-        parts.append((K.mix(x, seed) >> K.U64(64 - bits)).astype(np.int64) + first)
-        first += 1 << bits
+    parts = [(K.mix(x, 21 + i) >> K.U64(64 - BITS)).astype(np.int64) + (i << BITS) for i, x in enumerate((w.hashes, pair, shape, shapes))]
     return np.concatenate([doc, doc[second], doc, doc[second]]), np.concatenate(parts)
 
 
 def _counts(good) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        counts = np.zeros((2, BUCKETS), np.int64)  # raw, target
         ids = np.frombuffer(good.value, np.int64)
         for batch in batches:
             wanted = np.isin(batch["doc_id"].fill_null(0).to_numpy(), ids) & batch["doc_id"].is_valid().to_numpy(zero_copy_only=False)
             for w in K.hashed_words(batch["text"]):
                 doc, bucket = features(w)
-                raw += np.bincount(bucket, minlength=len(raw))
-                target += np.bincount(bucket[wanted[w.lo : w.hi][doc]], minlength=len(raw))
-        at = np.flatnonzero(raw)
-        yield pa.record_batch([pa.array(at, pa.int32()), pa.array(raw[at]), pa.array(target[at])], names=["bucket", "raw", "target"])
+                counts[0] += np.bincount(bucket, minlength=BUCKETS)
+                if wanted[w.lo : w.hi].any():
+                    counts[1] += np.bincount(bucket[wanted[w.lo : w.hi][doc]], minlength=BUCKETS)
+        yield from segments_of(counts.reshape(-1))
 
     return K.tidy(run)
 
 
+def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """log p_target - log p_raw of every bucket, order by order."""
+    out = np.zeros(BUCKETS)
+    for lo in range(0, BUCKETS, 1 << BITS):
+        r, t = (x[lo : lo + (1 << BITS)].astype(np.float64) for x in (raw, target))
+        if r.sum() and t.sum():
+            out[lo : lo + (1 << BITS)] = np.log((t + SMOOTHING) / (r * (t.sum() / r.sum()) + SMOOTHING))
+    return out
+
+
 def keys(doc_ids: pa.Array, texts: pa.Array, ratio: np.ndarray, temperature: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Number of words, log weight and Gumbel key of every document."""
     n, weight, noise = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts), K.U64)
@@ -99,7 +112,7 @@ def keys(doc_ids: pa.Array, texts: pa.Array, ratio: np.ndarray, temperature: flo
         n[w.lo : w.hi] = w.counts()
         weight[w.lo : w.hi] = np.bincount(doc, weights=ratio[bucket], minlength=w.hi - w.lo)
         noise[w.lo : w.hi] = K.span_hashes(w.hashes, w.offsets[:-1], w.offsets[1:], seed=31)
-    weight /= np.maximum(n, 1)
+    weight /= np.maximum(n / LENGTH, 1)
     ids = doc_ids.fill_null(-1).cast(pa.int64()).to_numpy()
     u = (K.mix(noise ^ K.mix(ids.view(K.U64), 32), 33) >> K.U64(11)).astype(np.float64)
     gumbel = -np.log(-np.log((u + 0.5) / 2.0**53))
@@ -162,14 +175,13 @@ class Resampler:
         ids, quality = sample["doc_id"].to_numpy(), sample["quality"].to_numpy()
         half = (K.mix(ids.astype(np.int64).view(K.U64), 35) & K.U64(1)).astype(bool)
         fitted = spark.sparkContext.broadcast(ids[half & (quality > 0)].astype(np.int64).tobytes())
-        counts = docs.mapInArrow(_counts(fitted), "bucket int, raw long, target long")
-        counts = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
-        raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-        raw[counts["bucket"].to_numpy()], target[counts["bucket"].to_numpy()] = counts["raw"].to_numpy(), counts["target"].to_numpy()
-        self.ratio = np.log((target + 1) / (target + 1).sum()) - np.log((raw + 1) / (raw + 1).sum())
+        raw, target = summed(docs.mapInArrow(_counts(fitted), SEGMENTS), 2 * BUCKETS).reshape(2, -1)
+        self.ratio = log_ratio(raw, target)
         self.shared = spark.sparkContext.broadcast(self.ratio.tobytes())
         self.scores = written(docs.mapInArrow(_scores(self.shared, temperature), "doc_id long, n_words long, log_weight double, gumbel_key double"), "weights")
-        held_out = self.scores.join(F.broadcast(spark.createDataFrame(list(zip(ids[~half].tolist(), quality[~half].tolist(), strict=True)), "doc_id long, quality int")), "doc_id").select("log_weight", "quality").toArrow()
+        known = F.broadcast(spark.createDataFrame(list(zip(ids[~half].tolist(), quality[~half].tolist(), strict=True)), "doc_id long, quality int"))
+        # A row for each label: rows of a repeated id count once, by their mean.
+        held_out = self.scores.join(known, "doc_id").groupBy("doc_id").agg(F.avg("log_weight").alias("log_weight"), F.min("quality").alias("quality")).select("log_weight", "quality").toArrow()
         weight, good = held_out["log_weight"].to_numpy(), held_out["quality"].to_numpy() > 0
         self.cut = best_cut(weight[good], weight[~good]) if good.any() and not good.all() else -math.inf
         self.k = self.scores.where(F.col("log_weight") > self.cut).count() if self.cut > -math.inf else self.scores.count()

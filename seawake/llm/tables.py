@@ -1,4 +1,4 @@
-"""Bucketed intermediate tables, and bitmaps of fixed size that spare a shuffle what it need not carry."""
+"""Bucketed intermediate tables, tables of counts summed over tasks, and bitmaps of fixed size that spare a shuffle what it need not carry."""
 
 from __future__ import annotations
 
@@ -28,6 +28,35 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     return spark.table(table)
 
 
+SEGMENT = 1 << 13
+SEGMENTS = "segment int, counts binary"
+
+
+def segments_of(table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A task's counts in segments, those that are not empty: a row for SEGMENT counts, not for each."""
+    for i, part in enumerate(table.reshape(-1, SEGMENT)):
+        if part.any():
+            yield pa.record_batch([pa.array([i], pa.int32()), pa.array([part.astype(np.int64).tobytes()], pa.binary())], names=["segment", "counts"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, counts in zip(batch["segment"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+            sums.setdefault(i, np.zeros(SEGMENT, np.int64))[:] += np.frombuffer(counts, np.int64)
+    yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["segment", "counts"])
+
+
+def summed(segments: DataFrame, size: int) -> np.ndarray:
+    """The sum of all tasks' tables of `size` counts; segments are dealt out before they reach the driver."""
+    n = min(size // SEGMENT, int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    out = np.zeros(size, np.int64)
+    found = segments.repartition(n, "segment").mapInArrow(_added, SEGMENTS).toArrow()
+    for i, counts in zip(found["segment"].to_pylist(), found["counts"].to_pylist(), strict=True):
+        out[i * SEGMENT : (i + 1) * SEGMENT] = np.frombuffer(counts, np.int64)
+    return out
+
+
 def _bits(bits: int, segment: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps: dict[int, np.ndarray] = {}

@@ -4,6 +4,7 @@ import collections
 import datetime
 import hashlib
 import itertools
+import math
 import random
 import re
 import time
@@ -247,6 +248,55 @@ def test_mixture_takes_its_targets(spark):
     assert mixing.Mixture(empty(spark)).taken().count() == 0
 
 
+def plain_schedule(plan, block, golden):
+    """(slot, source, block, words, pass) of every slot, one by one."""
+    n, out, ranks = sum(r.slots for r in plan), set(), collections.Counter()
+    edges = [sum(r.slots for r in plan[: i + 1]) / n for i in range(len(plan))]
+
+    def take(slot, r):
+        rank = ranks[r.source_no]
+        ranks[r.source_no] += 1
+        if rank < r.slots:
+            turn, no = divmod(rank, r.blocks)
+            out.add((slot, r.source_no, no, min(block, r.source_size - no * block, r.wanted - turn * r.source_size - no * block), turn))
+
+    for i in range(n):
+        point = (i + 0.5) * golden % 1
+        take(i, plan[min(len(plan) - 1, sum(e <= point for e in edges))])
+    for r in plan:
+        while ranks[r.source_no] < r.slots:
+            take(n + r.source_no, r)
+    return out
+
+
+def test_schedule_follows_the_golden_ratio(spark, monkeypatch):
+    _, df = corpus(spark, seed=17, n=200)
+    mixture = mixing.Mixture(df, block=16)
+    plan = sorted(mixture.plan.collect(), key=lambda r: r.source_no)
+    schedule = lambda: {(r.slot, r.source_no, r.block_no, r.words, r["pass"]) for r in mixture.schedule().collect()}
+    first = schedule()
+    assert first == plain_schedule(plan, 16, mixing.GOLDEN)
+    # Every stretch of the mix holds each source's share, give or take a few slots.
+    order = [s for _, s in sorted((x[0], x[1]) for x in first)]
+    for lo in range(0, len(order) - 40, 13):
+        for r in plan:
+            assert abs(order[lo : lo + 40].count(r.source_no) - 40 * r.slots / len(order)) < 4
+    slots = {(r.doc_id, r.source, r.h): r.first_slot for r in mixture.taken().collect()}
+    monkeypatch.setattr(mixing, "GOLDEN", 0.5)
+    assert schedule() != first and {(r.doc_id, r.source, r.h): r.first_slot for r in mixture.taken().collect()} != slots
+
+
+def test_mix_is_in_the_order_of_slots(spark):
+    rows = [(i, f"w{i} " * 5, "ab"[i % 4 == 0]) for i in range(80)] + [(80, None, "a"), (81, "", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(1) for c in ("_slot", "_key", "slot", "taken")})
+    mixture = mixing.Mixture(df, block=16)
+    got = mixture.mix(df).collect()
+    first = {r.doc_id: r.first_slot for r in mixture.taken().collect()}
+    seen = list(dict.fromkeys(r.doc_id for r in got))
+    assert [first[d] for d in seen] == sorted(first[d] for d in seen) and first[80] is None and first[81] is None
+    assert set(seen) == {d for d, s in first.items() if s is not None}
+
+
 def test_water_fill_shares_the_excess():
     assert mixing.water_fill([10, 1000, 1000], [1, 1, 1]) == [30.0, 990.0, 990.0]
     assert mixing.water_fill([5], [3]) == [5.0]
@@ -442,13 +492,75 @@ def test_resampling_without_labels_keeps_all(spark):
     assert quality.Resampler(docs.limit(0), labels).verdicts().count() == 0
 
 
+def plain_resampling(rows, labels):
+    """{(doc_id, text): kept}, with counts in dictionaries, a plain sort and no tasks."""
+    signed = lambda i: np.array([-1 if i is None else i], np.int64).view(np.uint64)
+    known = {}
+    for i, q, _ in labels:
+        if i is not None and q is not None:
+            known[i] = min(q, known.get(i, q))
+    fits = lambda i: bool(kernels.mix(signed(i), 35)[0] & np.uint64(1))
+    grams = []
+    for _, text in rows:
+        found = [quality.features(w)[1].tolist() for w in kernels.hashed_words(pa.array([text], pa.string()))]
+        grams.append([b for part in found for b in part])
+    raw, target = collections.Counter(), collections.Counter()
+    for (i, _), g in zip(rows, grams):
+        raw.update(g)
+        if i in known and fits(i) and known[i] > 0:
+            target.update(g)
+    order = lambda b: b >> quality.BITS
+    raws, targets = collections.Counter(), collections.Counter()
+    for counts, sums in ((raw, raws), (target, targets)):
+        for b, n in counts.items():
+            sums[order(b)] += n
+    ratio = {b: math.log((target[b] + quality.SMOOTHING) / (n * targets[order(b)] / raws[order(b)] + quality.SMOOTHING)) if targets[order(b)] else 0.0 for b, n in raw.items()}
+    weight, key = [], []
+    for (i, text), g in zip(rows, grams):
+        words = split(text)
+        weight.append(sum(ratio[b] for b in g) / max(1, len(words) / quality.LENGTH))
+        key.append(quality.keys(pa.array([i], pa.int64()), pa.array([text], pa.string()), np.zeros(quality.BUCKETS), 1.0)[2][0] + weight[-1] / quality.TEMPERATURE)
+    held = [(w, known[i]) for (i, _), w in zip(rows, weight) if i in known and not fits(i)]
+    good, bad = sorted(w for w, q in held if q > 0), sorted(w for w, q in held if q <= 0)
+    values = sorted({w for w, _ in held})
+    cuts = [values[0] - 1, *((a + b) / 2 for a, b in zip(values, values[1:])), values[-1] + 1]
+    cut = max(cuts, key=lambda c: round(sum(w > c for w in good) / len(good) + sum(w <= c for w in bad) / len(bad), 9))
+    k = sum(w > cut for w in weight)
+    least = sorted(key, reverse=True)[k - 1]
+    return weight, [x >= least for x in key], [w > cut for w in weight]
+
+
+def test_resampling_equals_brute_force_and_the_draw_decides_near_the_cut(spark):
+    # Texts between good and bad, labels that err, a repeated row, a tie, nulls, and columns with names of our own.
+    rng = random.Random(12)
+    rows, labels = [], []
+    for i in range(900):
+        share = rng.random()
+        good, bad = ["the", "of", "boat", "sea", "harbour", "and"], ["a", "in", "ship", "lake", "port", "or"]
+        rows.append((i, " ".join(rng.choice(good if rng.random() < share else bad) for _ in range(rng.randint(8, 50)))))
+        if i % 2:
+            labels.append((i, int(rng.random() < share), 0))
+    rows += [(900, None), (901, ""), (None, "the sea"), rows[5], rows[5], (902, rows[7][1]), (903, "the " * 20_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(0.5) for c in ("log_weight", "gumbel_key", "kept", "n_words")}).repartition(5)
+    made = quality.Resampler(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = sorted(((r.doc_id is None, r.doc_id, round(r.log_weight, 6), r.kept) for r in made.verdicts().collect()), key=repr)
+    weight, kept, above = plain_resampling(rows, labels)
+    assert got == sorted(((r[0] is None, r[0], round(w, 6), k) for r, w, k in zip(rows, weight, kept)), key=repr)
+    differ = sum(k != a for k, a in zip(kept, above)) / len(rows)
+    assert 0.02 < differ < 0.5, differ
+    assert made.resample(df).columns == df.columns and made.resample(df).count() == sum(kept)
+
+
 def test_log_weights_by_hand():
     ratio = np.random.default_rng(1).normal(size=quality.BUCKETS)
     n, weight, key = quality.keys(pa.array([1, None]), pa.array(["a b a", None]), ratio, 0.5)
     w = next(kernels.hashed_words(pa.array(["a b a"])))
     doc, bucket = quality.features(w)
     assert n.tolist() == [3, 0] and len(bucket) == 3 + 2 + 3 + 2
-    assert abs(weight[0] - ratio[bucket].sum() / 3) < 1e-12 and weight[1] == 0
+    assert abs(weight[0] - ratio[bucket].sum()) < 1e-12 and weight[1] == 0
+    n, weight, _ = quality.keys(pa.array([1]), pa.array(["a b " * 80]), ratio, 1.0)
+    bucket = quality.features(next(kernels.hashed_words(pa.array(["a b " * 80]))))[1]
+    assert n.tolist() == [160] and abs(weight[0] - ratio[bucket].sum() * quality.LENGTH / 160) < 1e-9
 
 
 def test_kth_largest(spark):
