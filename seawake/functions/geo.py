@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -124,13 +122,48 @@ def bounds(ring: list[tuple[float, float]]) -> tuple[float, float, float, float]
     return min(x for x, _ in ring), min(y for _, y in ring), max(x for x, _ in ring), max(y for _, y in ring)
 
 
-def planar_length(points: Column) -> Column:
-    """Running planar length, in degrees, at every point."""
-    return F.transform(
-        points,
-        lambda p, i: F.aggregate(F.slice(points, 2, i), F.struct(F.lit(0.0).alias("d"), points[0]["lon"].alias("x"), points[0]["lat"].alias("y")), lambda a, q: F.struct((a["d"] + F.sqrt(F.pow(q["lon"] - a["x"], F.lit(2.0)) + F.pow(q["lat"] - a["y"], F.lit(2.0)))).alias("d"), q["lon"].alias("x"), q["lat"].alias("y")))["d"],
-    )
+def _planar(p: Column, q: Column) -> Column:
+    return F.sqrt(F.pow(q["lon"] - p["lon"], F.lit(2.0)) + F.pow(q["lat"] - p["lat"], F.lit(2.0)))
+
+
+def point_at(line: Column, distance: Column) -> Column:
+    """The point (lon, lat) of a line of points at a planar distance, in degrees, from its start; its ends beyond them."""
+
+    def step(state: Column, q: Column) -> Column:
+        length = _planar(state["at"], q)
+        on = state["found"].isNull() & (state["left"] <= length) & (length > 0)
+        f = state["left"] / length
+        between = F.struct((state["at"]["lon"] + (q["lon"] - state["at"]["lon"]) * f).alias("lon"), (state["at"]["lat"] + (q["lat"] - state["at"]["lat"]) * f).alias("lat"))
+        return F.struct(_place(q).alias("at"), (state["left"] - length).alias("left"), F.when(on, between).otherwise(state["found"]).alias("found"))
+
+    first = _place(line[0])
+    begun = F.struct(first.alias("at"), distance.cast("double").alias("left"), F.when(distance <= 0, first).alias("found"))
+    return F.aggregate(F.slice(line, 2, F.greatest(F.size(line) - 1, F.lit(0))), begun, step, lambda s: F.coalesce(s["found"], s["at"]))
+
+
+def _place(p: Column) -> Column:
+    return F.struct(p["lon"].cast("double").alias("lon"), p["lat"].cast("double").alias("lat"))
+
+
+def arc_positions(line: Column) -> Column:
+    """Where each point of a line lies on it, in degrees from its start: at the first of the places nearest to it.
+
+    So a point that the line passes through earlier has the earlier position.
+    """
+
+    def position(p: Column) -> Column:
+        def step(state: Column, q: Column) -> Column:
+            a = state["at"]
+            dx, dy = q["lon"] - a["lon"], q["lat"] - a["lat"]
+            length = F.sqrt(dx * dx + dy * dy)
+            r = F.when(length > 0, ((p["lon"] - a["lon"]) * dx + (p["lat"] - a["lat"]) * dy) / (length * length)).otherwise(F.lit(0.0))
+            across = F.abs((p["lon"] - a["lon"]) * dy - (p["lat"] - a["lat"]) * dx) / length
+            away = F.when(r <= 0, _planar(a, p)).when(r >= 1, _planar(q, p)).otherwise(across)
+            nearer = away < state["best"]
+            here = state["length"] + F.greatest(F.lit(0.0), F.least(F.lit(1.0), r)) * length
+            return F.struct(_place(q).alias("at"), (state["length"] + length).alias("length"), F.when(nearer, away).otherwise(state["best"]).alias("best"), F.when(nearer, here).otherwise(state["arc"]).alias("arc"))
 
+        begun = F.struct(_place(line[0]).alias("at"), F.lit(0.0).alias("length"), F.lit(float("inf")).alias("best"), F.lit(0.0).alias("arc"))
+        return F.aggregate(F.slice(line, 2, F.greatest(F.size(line) - 1, F.lit(0))), begun, step, lambda s: s["arc"])
 
-def km_per_degree_latitude() -> float:
-    return EARTH_KM * math.pi / 180
+    return F.transform(line, position)

@@ -13,6 +13,12 @@ from ..schema import point_seconds, require_columns
 MASK, PAD = -1.0, -999.0
 
 
+def shuffled(df: DataFrame, key: str = "mmsi", seed: int = 0) -> DataFrame:
+    """The rows in an order that depends on the seed and the key only, not on partitions. shuffle_key holds that order."""
+    require_columns(df, key)
+    return df.withColumn("shuffle_key", F.md5(F.concat(F.lit(f"{seed}-"), F.coalesce(F.col(key).cast("string"), F.lit(""))))).orderBy("shuffle_key")
+
+
 def supervised_split(trajectories: DataFrame, n_pred: int, seq_len: int | None = None) -> DataFrame:
     """Adds X (the points before the last n_pred, or the last seq_len of those) and y (the last n_pred).
 
@@ -148,10 +154,6 @@ def scale_minmax(differences: DataFrame, fitted: DataFrame) -> DataFrame:
     return joined.withColumns({c: (F.col(c) - F.col(f"{c}_min")) / F.col(f"{c}_range") for c in ("dlat", "dlon")}).select(*differences.columns)
 
 
-def unscale(x: Column, least: Column, span: Column) -> Column:
-    return x * span + least
-
-
 def pair_windows(differences: DataFrame, length: int) -> DataFrame:
     """i, j, k, seq (length differences from place k on), target (the next one), for k up to n - length - 2."""
     w = Window.partitionBy("i", "j").orderBy("pos")

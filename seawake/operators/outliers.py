@@ -104,9 +104,14 @@ def remove_outliers_rows(trajectories: DataFrame, *thresholds, additional_column
     boat_start_time, boat_end_time and boat_point_count are those of the boat.
     """
     require_columns(trajectories, "points", *additional_columns)
-    rows = trajectories.withColumn("_row", F.monotonically_increasing_id())
+    from ..scratch import new_path
     from .trajectory import explode_points
 
+    # Rows are numbered once and written: numbers that a task makes anew might differ between the two sides of the join.
+    path = new_path(trajectories.sparkSession, "rows")
+    trajectories.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    rows = trajectories.sparkSession.read.parquet(path)
+
     boats = remove_outliers(explode_points(rows, "_row"), "_row", *thresholds, **named)
     at = boats.groupBy("_row", "boat").agg(F.sort_array(F.collect_list("pos")).alias("_at"))
     met = rows.join(at, "_row")

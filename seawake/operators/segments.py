@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import require_columns
+from ..schema import require_columns, require_positive
 
 
 def segment_points(points: DataFrame, split_statuses: tuple[int, ...], default_status: int = 0, min_segment_length: int | None = None, key: str = "mmsi", line: bool = True) -> DataFrame:
@@ -30,11 +30,18 @@ def segment_points(points: DataFrame, split_statuses: tuple[int, ...], default_s
     return kept.withColumn("segment", (F.dense_rank().over(Window.partitionBy(key).orderBy("_island")) - 1).cast("int")).drop("_split", "_island", "_splits", "_n")
 
 
-def segment_by_status(trajectories: DataFrame, split_statuses: tuple[int, ...], default_status: int = 0, min_segment_length: int | None = None, point_count_column: str | None = "point_count") -> DataFrame:
-    """Trajectory rows in, a row per segment out; other columns are copied and the point count is made anew. No shuffle."""
-    require_columns(trajectories, "points")
+def segment_by_status(trajectories: DataFrame, split_statuses: tuple[int, ...], default_status: int = 0, min_segment_length: int | None = None, point_count_column: str | None = "point_count", n_processes: int | None = None) -> DataFrame:
+    """Trajectory rows in, a row per segment out; other columns are copied and the point count is made anew. No shuffle.
+
+    A point count column by another name than point_count must be there. n_processes is checked and otherwise without effect.
+    """
+    require_columns(trajectories, "points", *([point_count_column] if point_count_column not in (None, "point_count") else []))
     if not split_statuses:
         raise ValueError("split_statuses is empty")
+    if min_segment_length is not None and min_segment_length < 1:
+        raise ValueError("min_segment_length is 1 at least")
+    if n_processes is not None:
+        require_positive(n_processes=n_processes)
     least = max(min_segment_length or 1, 2)
     filled = F.transform("points", lambda p: p.withField("status", F.coalesce(p["status"], F.lit(default_status))))
     none = F.array().cast("array<array<struct<ts:timestamp_ntz,seq:bigint,lon:double,lat:double,sog:double,cog:double,status:int>>>")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import area, compare, features, outliers, resample, search, segments, trajectory
+from ..schema import AIS_SCHEMA
+from ..scratch import new_path
 from ..sources import ais
 
 RECTANGLE = [(-110.5, 35.25), (-90.5, 35.25), (-90.5, 60.75), (-110.5, 60.75)]
@@ -300,6 +304,50 @@ def resample_status_ffill(spark, sf_dir):
     return _resampled(spark, sf_dir).select("mmsi", "t", "status")
 
 
+_HEADER = "MMSI,BaseDateTime,LAT,LON,SOG,COG,Heading,VesselName,IMO,CallSign,VesselType,Status,Length,Width,Draft,Cargo,TransceiverClass"
+
+
+def _write_daily_files(spark: SparkSession, sf_dir: str) -> tuple[str, datetime.date, datetime.date]:
+    """The reports as daily files with the usual columns. Lines of every 11th are too long, of every 13th too short."""
+    points = _points(spark, sf_dir)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    head = [text("mmsi"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), text("lat"), text("lon"), text("sog"), text("cog"), F.lit("511"), F.lit('"MV ""A"", B"'), F.lit(""), F.lit("C")]
+    whole = F.concat_ws(",", *head, text("vessel_type"), text("status"), F.lit("10,5,2.5,70,A"))
+    line = F.when(F.col("seq") % 11 == 0, F.concat(whole, F.lit(",more"))).when(F.col("seq") % 13 == 0, F.concat_ws(",", *head)).otherwise(whole)
+    lines = points.select("day", line.alias("value"), F.lit(1).alias("place"))
+    heads = points.select("day").distinct().select("day", F.lit(_HEADER).alias("value"), F.lit(0).alias("place"))
+    path = new_path(spark, "daily")
+    # A file for each day, in one task, begins with its column names.
+    lines.union(heads).repartition("day").sortWithinPartitions("day", "place").select("day", "value").write.partitionBy("day").text(path)
+    first, last = points.agg(F.min("day"), F.max("day")).first()
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for day in ais.days(first, last):
+        old, new = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where, x) for x in (f"day={day}", ais.archive_filename(day)))
+        if not files.rename(old, new):
+            raise FileNotFoundError(str(day))
+    return path, first, last
+
+
+@query("""SELECT mmsi AS "MMSI", ts AS "BaseDateTime", lat AS "LAT", lon AS "LON", sog AS "SOG", cog AS "COG", CASE WHEN seq % 13 <> 0 THEN vessel_type END AS "VesselType",
+    CASE WHEN seq % 13 <> 0 THEN status END AS "Status", 'MV "A", B' AS "VesselName", CASE WHEN seq % 13 <> 0 THEN 'A' END AS "TransceiverClass" FROM pts WHERE seq % 11 <> 0""")
+def load_daily_files(spark, sf_dir):
+    path, first, last = _write_daily_files(spark, sf_dir)
+    return ais.load_ais(spark, path, first, last).withColumn("BaseDateTime", F.col("BaseDateTime").cast("timestamp_ntz")).select(*AIS_SCHEMA.fieldNames(), "VesselName", "TransceiverClass")
+
+
+@query("SELECT mmsi, seq, md5('7-' || CAST(seq AS VARCHAR)) AS shuffle_key, CAST(row_number() OVER (ORDER BY md5('7-' || CAST(seq AS VARCHAR))) - 1 AS BIGINT) AS place FROM pts")
+def shuffle_points(spark, sf_dir):
+    """place counts the rows before each in the global order: rows of earlier partitions, and of its own."""
+    path = new_path(spark, "shuffled")
+    rows = features.shuffled(_points(spark, sf_dir).select("mmsi", "seq"), "seq", 7)
+    rows.select("mmsi", "seq", "shuffle_key", F.monotonically_increasing_id().alias("at")).write.parquet(path)
+    rows = spark.read.parquet(path).withColumn("part", F.shiftright("at", 33))
+    parts = rows.groupBy("part").agg(F.count("*").alias("n"))
+    before = parts.alias("a").join(parts.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy(F.col("a.part").alias("part")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("base"))
+    return rows.join(before, "part").select("mmsi", "seq", "shuffle_key", (F.col("base") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("place"))
+
+
 def _pair_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     tracks = _tracks(spark, sf_dir)
     return tracks.withColumn("trajectory_id", F.col("mmsi")), resample.resample_trajectories(tracks, STEP / 60).withColumn("trajectory_id", F.col("mmsi"))

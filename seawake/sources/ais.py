@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import datetime
 from pathlib import Path
 
@@ -10,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schema import AIS_SCHEMA, require_columns
+from ..schema import AIS_SCHEMA, MissingColumn, require_columns
 
 # AIS ship type codes (first, last, category) and the categories' names.
 TYPE_RANGES = (
@@ -68,26 +69,61 @@ def fetch_all(base: str, start: datetime.date, end: datetime.date, folder: str,
     return [fetch(base, day, folder, override) for day in days(start, end)]
 
 
-def load_ais(spark: SparkSession, folder: str, start: datetime.date, end: datetime.date | None = None) -> DataFrame:
-    """The daily CSV files of a date range as one table, with their day.
+def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """Column names of a file, from its first line; only that line is read."""
+    first = spark.read.text(path).first()
+    return tuple(next(csv.reader([first.value.lstrip("\ufeff")]))) if first else ()
+
 
-    Lines with too many fields go, short lines get nulls. Rows are not sorted:
-    order is made where it matters, inside a trajectory.
+def load_ais(spark: SparkSession, folder: str, start: datetime.date, end: datetime.date | None = None) -> DataFrame:
+    """The daily CSV files of a date range as one table.
+
+    Columns are found by the names in each file's first line, whatever their
+    number and order: those of AIS_SCHEMA with their types, then all others as
+    strings (null where a file lacks them). Lines with more fields than the first
+    line go, short lines get nulls, values that do not fit their type are null.
+    Files with the same first line are one scan. Rows are not sorted: order is made
+    where it matters, inside a trajectory.
     """
-    paths = [f"{folder.rstrip('/')}/{archive_filename(d)}" for d in days(start, end)]
-    schema = T.StructType([*AIS_SCHEMA.fields, T.StructField("_bad", T.StringType())])
-    raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("columnNameOfCorruptRecord", "_bad").option("mode", "PERMISSIVE").csv(paths)
-    # A short line is marked bad as well, but its last column is null; one with too many fields has all.
-    too_many = F.col("_bad").isNotNull() & (F.size(F.split("_bad", ",", -1)) > len(AIS_SCHEMA.fields))
-    return raw.where(~F.coalesce(too_many, F.lit(False))).drop("_bad")
+    files: dict[tuple[str, ...], list[str]] = {}
+    for day in days(start, end):
+        path = f"{folder.rstrip('/')}/{archive_filename(day)}"
+        files.setdefault(_header(spark, path), []).append(path)
+    out = None
+    for header, paths in files.items():
+        if not header:
+            continue
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in (*(f"c{i}" for i in range(len(header))), "line")])
+        raw = spark.read.schema(schema).options(header=True, enforceSchema=True, mode="PERMISSIVE", columnNameOfCorruptRecord="line", columnPruning=False, quote='"', escape='"').csv(paths)
+        # A line with too few or too many fields is kept as it stands; its commas outside quotes tell which. A first field is
+        # asked for as well, since no query may read such lines alone.
+        fields = F.size(F.split(F.regexp_replace("line", '"([^"]|"")*"', ""), ",", -1))
+        raw = raw.where(F.col("line").isNull() | ((fields <= len(header)) & (F.length(F.coalesce("c0", F.lit(""))) >= 0)))
+        of = {name.strip().lower(): f"c{i}" for i, name in reversed(list(enumerate(header)))}
+        for field in AIS_SCHEMA.fields:
+            if field.name.lower() not in of:
+                raise MissingColumn(field.name)
+        known = []
+        for field in AIS_SCHEMA.fields:
+            column = F.col(of.pop(field.name.lower()))
+            if isinstance(field.dataType, (T.IntegerType, T.LongType)):
+                column = F.coalesce(column.try_cast(field.dataType), column.try_cast("double").try_cast(field.dataType))  # 70.0 is 70
+            known.append(column.try_cast(field.dataType).alias(field.name))
+        others = [F.col(of[n]).alias(name) for n, name in ((x.strip().lower(), x.strip()) for x in header) if n in of and header[int(of[n][1:])].strip() == name]
+        part = raw.select(*known, *others)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return spark.createDataFrame([], AIS_SCHEMA) if out is None else out
 
 
 def standard_points(df: DataFrame) -> DataFrame:
-    """AIS columns under the names of the data model, with the day of each report."""
+    """AIS columns under the names of the data model, with the day of each report.
+
+    seq, which settles ties in time, is a hash of the report, so that it stays the same when a task runs again.
+    """
     require_columns(df, *AIS_SCHEMA.fieldNames())
     ts = F.col("BaseDateTime").cast("timestamp_ntz")
     return df.select(
-        F.col("MMSI").alias("mmsi"), ts.alias("ts"), F.monotonically_increasing_id().alias("seq"), F.col("LON").alias("lon"), F.col("LAT").alias("lat"),
+        F.col("MMSI").alias("mmsi"), ts.alias("ts"), F.xxhash64(*AIS_SCHEMA.fieldNames()).alias("seq"), F.col("LON").alias("lon"), F.col("LAT").alias("lat"),
         F.col("SOG").alias("sog"), F.col("COG").alias("cog"), F.col("Status").alias("status"), F.col("VesselType").alias("vessel_type"), ts.cast("date").alias("day"),
     )
 

@@ -3,6 +3,9 @@
 import datetime
 import math
 import random
+import time
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -403,6 +406,86 @@ def test_loading_daily_files(spark, tmp_path):
     assert [r.day.day for r in encode.date_range(spark, "2024-02-28", "2024-03-01").collect()] == [28, 29, 1]
 
 
+def test_loading_files_by_their_column_names(spark, tmp_path):
+    one = "MMSI,BaseDateTime,LAT,LON,SOG,COG,Heading,VesselName,VesselType,Status\n"
+    two = "\ufeffStatus,VesselType,COG,SOG,LON,LAT,BaseDateTime,MMSI,Draft\n"
+    (tmp_path / "AIS_2024_01_01.csv").write_text(one + '2,2024-01-01T10:00:00,1,2,3,4,511,"A, ""B""",70,0\n2,2024-01-01T11:00:00,1,2,3,4,511,X,70.0,0\n2,2024-01-01T12:00:00,1,2,3,4,511,X,70,0,\n2,2024-01-01T13:00:00,x\n')
+    (tmp_path / "AIS_2024_01_02.csv").write_text(two + "5,52,40,30,20,10,2024-01-02T09:00:00,7,\n")
+    df = ais.load_ais(spark, str(tmp_path), datetime.date(2024, 1, 1), datetime.date(2024, 1, 2))
+    assert df.count() == 4 and df.columns[:8] == ["MMSI", "BaseDateTime", "LAT", "LON", "SOG", "COG", "VesselType", "Status"] and set(df.columns[8:]) == {"Heading", "VesselName", "Draft"}
+    rows = df.orderBy("BaseDateTime").collect()
+    assert [(r.MMSI, r.LAT, r.VesselType, r.Status, r.VesselName) for r in rows] == [(2, 1.0, 70, 0, 'A, "B"'), (2, 1.0, 70, 0, "X"), (2, None, None, None, None), (7, 10.0, 52, 5, None)]
+    (tmp_path / "AIS_2024_01_03.csv").write_text("MMSI,LAT\n1,2\n")
+    with pytest.raises(KeyError):
+        ais.load_ais(spark, str(tmp_path), datetime.date(2024, 1, 3))
+    (tmp_path / "AIS_2024_01_04.csv").write_text("")
+    assert ais.load_ais(spark, str(tmp_path), datetime.date(2024, 1, 4)).count() == 0
+
+
+def test_fetching_archives(tmp_path):
+    served, kept = tmp_path / "served" / "2024", tmp_path / "kept"
+    served.mkdir(parents=True)
+    kept.mkdir()
+    for day in (1, 2):
+        with zipfile.ZipFile(served / f"AIS_2024_01_0{day}.zip", "w") as z:
+            z.writestr(f"AIS_2024_01_0{day}.csv", f"day {day}")
+    base = served.parent.as_uri()
+    paths = ais.fetch_all(base, datetime.date(2024, 1, 1), datetime.date(2024, 1, 2), str(kept))
+    assert [Path(p).read_text() for p in paths] == ["day 1", "day 2"]
+    Path(paths[0]).write_text("mine")
+    assert Path(ais.fetch(base, datetime.date(2024, 1, 1), str(kept))).read_text() == "mine"
+    assert Path(ais.fetch(base, datetime.date(2024, 1, 1), str(kept), override=True)).read_text() == "day 1"
+    with pytest.raises(OSError):
+        ais.fetch(base, datetime.date(2024, 1, 9), str(kept))
+
+
+def test_places_along_a_line(spark):
+    line = [(0.0, 0.0), (4.0, 0.0), (4.0, 2.0), (2.0, 2.0), (2.0, 0.0), (2.0, -2.0), (4.0, 0.0), (4.0, 0.0)]
+    df = spark.createDataFrame([([dict(lon=x, lat=y) for x, y in line],)], "line array<struct<lon:double,lat:double>>")
+    # The fifth point lies on the first stretch, the last two are the second point again.
+    assert df.select(geo.arc_positions(F.col("line"))).first()[0] == pytest.approx([0, 4, 6, 8, 2, 12, 4, 4])
+    for d, want in ((-1, (0, 0)), (0, (0, 0)), (3, (3, 0)), (5, (4, 1)), (7, (3, 2)), (99, (4, 0))):
+        got = df.select(geo.point_at(F.col("line"), F.lit(d))).first()[0]
+        assert (got.lon, got.lat) == pytest.approx(want)
+    one = spark.createDataFrame([([dict(lon=1.0, lat=2.0)],)], "line array<struct<lon:double,lat:double>>")
+    assert one.select(geo.arc_positions(F.col("line"))).first()[0] == [0.0] and tuple(one.select(geo.point_at(F.col("line"), F.lit(3))).first()[0]) == (1.0, 2.0)
+
+
+def test_resampling_along_a_track_that_crosses_itself(spark):
+    base = datetime.datetime(2024, 1, 1)
+    line = [(0.0, 0.0), (4.0, 0.0), (4.0, 2.0), (2.0, 2.0), (2.0, 0.0), (2.0, -2.0)]
+    rows = [(1, base + datetime.timedelta(seconds=10 * i), i, x, y, 1.0, 0.0, 0) for i, (x, y) in enumerate(line)]
+    points = spark.createDataFrame(rows, "mmsi long, ts timestamp_ntz, seq long, lon double, lat double, sog double, cog double, status int")
+    got = {r.t: (r.lon, r.lat) for r in resample.resample_points(points, 5, compat=True).collect()}
+    # From (2, 2), 8 along, to (2, 0), which the track passed 2 along: halfway is 5 along. From there to (2, -2), 12 along: halfway is 7 along.
+    want = {0: (0, 0), 5: (2, 0), 10: (4, 0), 15: (4, 1), 20: (4, 2), 25: (3, 2), 30: (2, 2), 35: (4, 1), 40: (2, 0), 45: (3, 2), 50: (2, -2)}
+    assert {t: pytest.approx(p) for t, p in got.items()} == want
+    plain = {r.t: (r.lon, r.lat) for r in resample.resample_points(points, 5).collect()}
+    assert plain[35] == (2, 1) and plain[45] == (2, -1)
+
+
+def test_resampling_takes_linear_time(spark):
+    def seconds(n: int) -> float:
+        at = spark.range(n).select(F.lit(1).alias("mmsi"), F.timestamp_seconds(F.col("id") * 60).cast("timestamp_ntz").alias("ts"), F.col("id").alias("seq"), (F.col("id") / n).alias("lon"), F.lit(1.0).alias("lat"), F.lit(1.0).alias("sog"), F.lit(2.0).alias("cog"), F.lit(0).alias("status"))
+        began = time.perf_counter()
+        resample.resample_points(at, 60).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(40_000) < 8 * seconds(10_000) + 2
+
+
+def test_segment_arguments(spark):
+    df = table(spark, [track((0, 0)), track((0, 91))])
+    for bad in (0, -3):
+        with pytest.raises(ValueError):
+            segments.segment_by_status(df, (1,), min_segment_length=bad)
+        with pytest.raises(ValueError):
+            segments.segment_by_status(df, (1,), n_processes=bad)
+    with pytest.raises(KeyError):
+        segments.segment_by_status(df, (1,), point_count_column="no such column")
+
+
 def test_dimensions(spark):
     groups = {r.category: r.description for r in ais.vessel_groups(spark).collect()}
     assert groups == {0: "Unknown", 2: "Fishing", 3: "Towing", 12: "Tug", 18: "Passenger", 19: "Cargo", 21: "Other"}
