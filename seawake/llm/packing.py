@@ -6,7 +6,9 @@ round, one window of ``window`` tokens, a queue earns its target proportion of
 the window; it sends when its deficit has reached ``least`` tokens, so that
 queues with little to send are not cut to crumbs, and what it may not send yet
 is carried on. Target proportions are those of the queues' tokens, so that all
-queues end together and the whole corpus is packed in its own mixture.
+queues end together and the whole corpus is packed in its own mixture; or they
+are given (targets: a weight for each source, others weigh nothing until those have
+ended). A queue that ends early leaves its room to the others, in their proportions.
 
 Credits after any round have a closed form. So a token's place in the packed
 stream follows from its place in its queue, and every task can pack its own
@@ -38,6 +40,8 @@ from .storage import small_batches, written
 
 WINDOW, LEAST, END_ID = 2048, 128, 1
 MOST_QUEUES = 4096
+#: Places of queues in so many parts of the stored ids are broadcast (about 30 MB); more are joined by a shuffle.
+BROADCAST_BASES = 200_000
 #: Words whose ids a worker remembers.
 MOST_WORDS = 1_000_000
 
@@ -53,10 +57,26 @@ def _tokenizer(path: str) -> tuple:
 
         found = Tokenizer.from_file(path)
         kind = "<u2" if found.get_vocab_size(True) <= 1 << 16 else "<u4"
-        _tokenizers[path] = found, Vocabulary(kind), [t.content.encode() for t in found.get_added_tokens_decoder().values()], kind
+        known = Vocabulary(kind) if _by_words(found) else None
+        _tokenizers[path] = found, known, [t.content.encode() for t in found.get_added_tokens_decoder().values()], kind
     return _tokenizers[path]
 
 
+#: Texts by which a tokenizer shows whether it may be given words one by one.
+PROBES = ("Hello, World", "don't", "a.b-c", "x  y", "A\tB\n c", " it's 3.5% ok. ", "été naïve", "日本 語", "end.\n\nNew (line)", "x1_y2", "(a)b")
+
+
+def _by_words(tokenizer) -> bool:
+    """Whether ids of a text are those of its lower-case words, punctuation apart, one after the other."""
+    ids = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+    for text in PROBES:
+        w = next(K.hashed_words(pa.array([text]), lower=True, cut=CUT))
+        raw = w.data.tobytes()
+        if ids(text) != [i for a, b in zip(w.starts.tolist(), w.ends.tolist(), strict=True) for i in ids(raw[a:b].decode())]:
+            return False
+    return True
+
+
 class Vocabulary:
     """Ids of the words met so far: sorted word hashes with places in one array of ids."""
 
@@ -117,9 +137,12 @@ def encode(texts: pa.Array, path: str) -> tuple[list[bytes], str]:
     The tokenizer drops white space, lowers case and never joins across white
     space, nor from a letter or digit to punctuation. So ids are remembered by
     lower-case word, punctuation apart (by its 64-bit hash). A text with the string of a special token goes to
-    the tokenizer whole.
+    the tokenizer whole, and so do all texts if the tokenizer does not show this on PROBES.
     """
     tokenizer, known, special, kind = _tokenizer(path)
+    if known is None:
+        whole = texts.fill_null("").cast(pa.string()).to_pylist()
+        return [np.array(tokenizer.encode(t, add_special_tokens=False).ids, kind).tobytes() for t in whole], kind
     out: list[bytes] = []
     for w in K.hashed_words(texts, lower=True, most=1 << 19, cut=CUT):
         if len(known.hashes) > MOST_WORDS:
@@ -172,12 +195,16 @@ def _tokenized(path: str, end: int) -> Callable:
 
 
 class Credits:
-    """Closed form of the deficit round-robin over queues with `totals` tokens."""
+    """Closed form of the deficit round-robin over queues with `totals` tokens; weights: other proportions than those of the totals."""
 
-    def __init__(self, totals: np.ndarray, window: int = WINDOW, least: int = LEAST):
+    def __init__(self, totals: np.ndarray, window: int = WINDOW, least: int = LEAST, weights: np.ndarray | None = None):
         self.totals, self.window = totals.astype(np.int64), window
         self.all = int(self.totals.sum())
-        self.share = self.totals / max(self.all, 1)
+        self.given = weights is not None
+        weights = np.asarray(weights, float) if self.given else self.totals
+        # Queues without a weight begin when the others are at an end, that is with a share too small to be seen before.
+        weights = np.where((weights <= 0) & (self.totals > 0), weights[weights > 0].min(initial=1.0) * 1e-6, weights) if self.given else weights
+        self.share = weights / max(weights.sum(), 1e-300 if self.given else 1)
         earned = np.maximum(self.share * window, 1e-9)
         self.every = np.maximum(1, np.ceil(least / earned)).astype(np.int64)  # rounds from one turn to the next
         self.shift = (np.arange(len(totals)) * 7919) % self.every
@@ -186,7 +213,7 @@ class Credits:
         """Tokens that a queue has sent after so many turns."""
         turn = np.maximum(turn, 0)
         credit = turn * self.every[queue] * float(self.window)
-        return np.where(credit >= self.all, self.totals[queue], np.minimum(self.totals[queue], np.floor(credit * self.share[queue]).astype(np.int64)))
+        return np.where((credit >= self.all) & (not self.given), self.totals[queue], np.minimum(self.totals[queue], np.floor(credit * self.share[queue]).astype(np.int64)))
 
     def turns(self, queue: int, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
         """Turns of a queue that send its tokens lo..hi-1, with what it has sent before each and after the last."""
@@ -252,9 +279,9 @@ def pieces(credits: Credits, tail: np.ndarray, queue: int, starts: np.ndarray, s
     return doc[row], begin[row] + (s - stream[row]) - starts[doc[row]], e - s, sequence, s - opens
 
 
-def _packed(totals: list[int], window: int, least: int) -> Callable:
+def _packed(totals: list[int], window: int, least: int, weights: list[float] | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        credits = Credits(np.array(totals, np.int64), window, least)
+        credits = Credits(np.array(totals, np.int64), window, least, None if weights is None else np.array(weights))
         tail = tail_cuts(credits.all, window)
         for batch in batches:
             queues, at, tokens = (batch[c].to_numpy() for c in ("queue_no", "at", "tokens"))
@@ -283,10 +310,12 @@ def _packed(totals: list[int], window: int, least: int) -> Callable:
     return K.tidy(run)
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, least: int = LEAST, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, least: int = LEAST, end_id: int = END_ID, targets: dict[str | None, float] | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source."""
     if window < 1 or least < 1:
         raise ValueError("window and least are positive")
+    if targets is not None and (min(targets.values(), default=0) < 0 or not any(targets.values())):
+        raise ValueError("targets are weights, one of them positive")
     if tokenizer is None:
         import public_tokenizers
 
@@ -295,6 +324,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, le
     small_batches(spark)
     source = F.col("source").cast("string")
     queues = docs.select(source.alias("source")).distinct().limit(MOST_QUEUES + 1).count()
+    if targets is not None and queues > MOST_QUEUES:
+        raise ValueError(f"targets need a queue for each source; there are over {MOST_QUEUES}")
     queue = source if queues <= MOST_QUEUES else F.pmod(F.xxhash64(source), F.lit(MOST_QUEUES)).cast("string")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), F.coalesce(F.concat(F.lit("="), queue), F.lit("")).alias("queue"), "text")
     schema = "doc_id long, source string, queue string, part int, start long, tokens long, ids binary"
@@ -303,9 +334,12 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, le
     totals = sorted((r.queue, r.n) for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect())  # at most MOST_QUEUES + 1
     if not totals:
         return spark.createDataFrame([], "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string")
+    weights = None if targets is None else [float(next((w for s, w in targets.items() if q == ("" if s is None else f"={s}")), 0.0)) for q, _ in totals]
     numbers = spark.createDataFrame([(q, i) for i, (q, _) in enumerate(totals)], "queue string, queue_no int")
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).join(F.broadcast(numbers), "queue").select("queue", "part", "base", "queue_no")
+    if bases.limit(BROADCAST_BASES + 1).count() <= BROADCAST_BASES:  # a row for each queue and part; the ids stay where they are
+        bases = F.broadcast(bases)
     placed = stored.join(bases, ["queue", "part"]).withColumn("at", F.col("start") + F.col("base"))
     out = placed.select("doc_id", "source", "queue_no", "at", "tokens", "ids")
-    return out.mapInArrow(_packed([n for _, n in totals], window, least), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string")
+    return out.mapInArrow(_packed([n for _, n in totals], window, least, weights), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string")

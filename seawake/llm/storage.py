@@ -1,36 +1,10 @@
-"""Shared scratch space for written tables that cut lineage.
-
-Every table goes below the folder that the cluster names in
-``spark.checkpoint.dir``, which driver and executors share. Only where that
-setting is absent (a local test session) a folder of our own is chosen.
-"""
+"""Written tables in the shared folder, which cut lineage."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-KEY = "spark.checkpoint.dir"
-_local: dict[str, str] = {}
-
-
-def scratch(spark: SparkSession) -> str:
-    """The shared folder of this session, without a trailing slash."""
-    found = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY)
-    if not found:
-        app = spark.sparkContext.applicationId
-        if app not in _local:
-            _local[app] = "file://" + tempfile.mkdtemp(prefix="seawake-")
-        found = _local[app]
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+from ..scratch import new_path, scratch  # noqa: F401
 
 
 def file_count(spark: SparkSession, rows: int, a_file: int = 50_000) -> int:
@@ -55,7 +29,6 @@ def written(df: DataFrame, name: str, files: int | None = None, most: int | None
 
 def small_batches(spark: SparkSession) -> None:
     """Bound the bytes of an Arrow batch sent to Python, where the session leaves that open."""
-    scratch(spark)
     for key, value, default in (
         ("spark.sql.execution.arrow.maxRecordsPerBatch", "1000", "10000"),
         ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20), None),

@@ -227,6 +227,64 @@ def test_deficit_round_robin_keeps_the_mixture():
         assert np.abs(drift).max() <= 2 * max(64, 1024 * n / 100_000) + 1024
 
 
+def plain_round_robin(totals, shares, every, shift, window):
+    """(queue, token) of the whole stream: round by round, each queue earns its share and sends what its credit covers when it is its turn."""
+    sent, stream, turns, r = [0] * len(totals), [], [0] * len(totals), 0
+    while sum(sent) < sum(totals):
+        for q in range(len(totals)):
+            if (r + 1 + shift[q]) % every[q] == 0:
+                turns[q] += 1
+                credit = (r + 1 + shift[q]) // every[q] * every[q] * float(window)
+                to = min(totals[q], int(np.floor(credit * shares[q])))
+                stream += [(q, i) for i in range(sent[q], to)]
+                sent[q] = max(sent[q], to)
+        r += 1
+    return stream
+
+
+@pytest.mark.parametrize(("totals", "weights"), [([900, 500, 40], [1, 1, 1]), ([300, 2000, 77, 5], [3, 1, 1, 0.5]), ([64], [2])])
+def test_closed_form_equals_a_round_robin_loop(totals, weights):
+    credits = packing.Credits(np.array(totals), 64, 16, np.array(weights, float))
+    stream = plain_round_robin(totals, credits.share.tolist(), credits.every.tolist(), credits.shift.tolist(), 64)
+    made = {}
+    tail = packing.tail_cuts(sum(totals), 64)
+    for q, n in enumerate(totals):
+        sizes = np.array([7] * (n // 7) + ([n % 7] if n % 7 else []))
+        starts = np.cumsum(sizes) - sizes
+        doc, start, length, sequence, offset = packing.pieces(credits, tail, q, starts, sizes)
+        for d, s, m, k, o in zip(doc.tolist(), start.tolist(), length.tolist(), sequence.tolist(), offset.tolist()):
+            for i in range(m):
+                made[(k, o + i)] = (q, int(starts[d]) + s + i)
+    assert [made[x] for x in sorted(made)] == stream
+    first = collections.Counter(q for q, _ in stream[: 4 * 64])
+    for q, w in enumerate(weights):
+        if totals[q] > 4 * 64:
+            assert abs(first[q] / (4 * 64) - w / sum(weights)) < 0.15
+
+
+def test_packing_to_targets(spark):
+    df = spark.createDataFrame([(i, "word " * 40, "abc"[i % 3]) for i in range(300)] + [(300, None, None)], "doc_id long, text string, source string")
+    rows = packing.pack(df, targets={"a": 3, "b": 1}).collect()
+    share = collections.Counter()
+    for r in rows:
+        share[r.sequence_id, r.source] += r.length
+    assert abs(share[0, "a"] - 1536) < 200 and share[0, "c"] < 20
+    assert sum(share.values()) == 300 * 41 + 1
+    with pytest.raises(ValueError):
+        packing.pack(df, targets={"a": 0})
+
+
+def test_a_tokenizer_that_joins_words_gets_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, models
+
+    made = Tokenizer(models.BPE(vocab={c: i for i, c in enumerate("abcABC '.")} | {"aA": 9}, merges=[("a", "A")]))
+    path = str(tmp_path / "t.json")
+    made.save(path)
+    texts = pa.array(["aA b", "A.a", None, ""])
+    ids, kind = packing.encode(texts, path)
+    assert [np.frombuffer(x, kind).tolist() for x in ids] == [made.encode(t or "").ids for t in texts.to_pylist()]
+
+
 def test_mixture_takes_its_targets(spark):
     rows, df = corpus(spark, seed=7)
     got = mixing.Mixture(df, block=16).taken().collect()
