@@ -5,10 +5,21 @@
    similarity of 0.8 or more, one of each group stays.
 3. pii: personal data become format-preserving pseudonyms.
 4. mixture: sources are mixed to target weights; a document appears once for
-   each pass over its source that takes any of it.
+   each pass over its source that takes any of it, in the order of the schedule.
 5. packing: what is left is packed into sequences; one row per piece.
 
-All but the last return the columns of documents.
+All but the last return the columns of documents, extra ones too, whatever their
+names.
+
+* Nulls: a null text counts as empty, a null source is a source, a null id is a
+  document of its own; null labels and labels of unknown documents do nothing.
+* Texts without words pass the quality stage unless their key is among the
+  rejected, are never duplicates, and end in the mixture, which takes words.
+* Ties: documents at the cut's key all stay; of linked documents the one with the
+  least id stays (of rows equal in id and text, one).
+* Very long texts are handled whole by every stage.
+* Empty tables give an empty result; without labels of both kinds every document
+  passes the quality stage.
 """
 
 from __future__ import annotations
@@ -51,7 +62,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: SQL can express neither hashing nor packing; tests/llm compare with brute force.
+#: SQL can express neither hashing nor packing; tests/llm compare run() with a brute-force version of all five stages.
 ORACLE_SQL = None
 
 
