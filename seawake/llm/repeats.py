@@ -243,6 +243,8 @@ def repeated_windows(docs: DataFrame, window: int = 35) -> tuple[DataFrame, Data
         texts = bucketed(one, "uid", "repeats")
         if not texts.where("clash").take(1):
             break
+    else:
+        raise RuntimeError("different texts had equal names eight times over")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     segments = texts.select("text").mapInArrow(_blocks(block), "segment int, bits binary").repartition(n, "segment").mapInArrow(_segments, "segment int, bits binary").toArrow()
     index = np.zeros(1 << (INDEX_BITS - 3), np.uint8)  # of fixed size

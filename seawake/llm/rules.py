@@ -11,8 +11,8 @@ A document fails when it is long enough for the comparison (MIN_CHARS, MIN_WORDS
 and its distance exceeds the limit, and when the base rules fail: under 50
 words, or over half of them in three-word windows that occur twice or more.
 
-Windows are found repeated by sorting one long per window: a hash above the
-window's position. Null text has no words and fails; a null or repeated doc_id keeps its
+Windows are found repeated by sorting one long per window, a hash above the
+window's position, and comparing the hashes of the words of neighbours. Null text has no words and fails; a null or repeated doc_id keeps its
 row. Extra columns are ignored. An empty table gives an empty result.
 """
 
@@ -54,13 +54,15 @@ def repeated_words(words: Column, n: Column) -> Column:
 
         def with_mask(mask: Column) -> Column:
             windows = F.transform(F.sequence(F.lit(0), n - F.lit(3)), lambda i: F.xxhash64(hashes[i], hashes[i + 1], hashes[i + 2]).bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long")))
-            return let(F.sort_array(windows), lambda s: covered(s, mask))
+            return let(F.sort_array(windows), lambda s: covered(s, mask, hashes))
 
         return let(low, with_mask)
 
-    def covered(s: Column, mask: Column) -> Column:
+    def covered(s: Column, mask: Column, hashes: Column) -> Column:
         same = lambda x, y: x.bitwiseXOR(y) <= mask
-        near = lambda x, y: same(x, y) & (x.bitwiseXOR(y) >= 0)
+        at = lambda x, j: F.get(hashes, x.bitwiseAND(mask).cast("int") + j)
+        # The longer the text, the fewer bits of a window's hash are left: its words' own hashes decide.
+        near = lambda x, y: same(x, y) & (x.bitwiseXOR(y) >= 0) & (at(x, 0) == at(y, 0)) & (at(x, 1) == at(y, 1)) & (at(x, 2) == at(y, 2))
         twice = F.filter(s, lambda x, i: F.when(i > 0, near(x, F.get(s, i - 1))).otherwise(False) | F.coalesce(near(x, F.get(s, i + 1)), F.lit(False)))
         places = F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(mask)))
         return let(places, lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(p, i + 1) - x, F.lit(3).cast("long")))), F.lit(0).cast("long"), lambda a, x: a + x))

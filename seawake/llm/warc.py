@@ -207,8 +207,13 @@ def read_warc(spark: SparkSession, path: str, payload: str = "text", split: int
         raise ValueError("payload is text, digest or none")
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
-    listed = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
-    files = [(f.getPath().toString(), f.getLen()) for f in listed if f.isFile() and not f.getPath().getName().startswith(("_", "."))]
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(where, True)
+    files = []
+    while found.hasNext():
+        f = found.next()
+        name = f.getPath().toString()
+        if not any(x.startswith(("_", ".")) for x in name[len(where.toString()) :].split("/")):
+            files.append((name, f.getLen()))
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
     return spark.read.format("warc").option("files", "\n".join(f"{p}\t{n}" for p, n in files)).option("payload", payload).option("split", str(split)).load()

@@ -738,3 +738,35 @@ def test_license_join_equals_comparing_all_pairs(spark):
                     if 100 * c >= 80 * len(own):
                         want.add((label, b, n, round(c / len(own), 9)))
         assert found[i] == want
+
+
+def test_very_long_texts(spark):
+    # 60,000 words; a line without any white space; lines of one word; and two of them again.
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60_000)), "x" * 400_000, "\n".join(f"y{i}" for i in range(20_000)), None]
+    texts += [texts[0], texts[1]]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)] + [(None, "mit license " * 30_000, None, None), (2, "mit license", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    words = sorted((r[0] is None, r[0] or 0, len(split(r[1]))) for r in rows)
+    of = lambda out, n="n_words": sorted((r.doc_id is None, r.doc_id or 0, r[n]) for r in out.collect())
+    scanned = licenses.license_report(df).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_words) for r in scanned) == words
+    assert [(r.n_base, r.first_word, r.last_word) for r in scanned if r.doc_id is None] == [(30_000, 0, 59_998)]
+    judged = rules.quality_rules(df).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_words) for r in judged) == words
+    assert {r.doc_id: r.n_repeat_words for r in judged if r.doc_id in (0, 1)} == {0: 0, 1: 0} and [r.n_repeat_words for r in judged if r.doc_id is None] == [60_000]
+    assert of(repeats.remove_repeats(df)) == words
+    assert of(mixing.mix_report(df), "size") == words
+    assert of(quality.Resampler(df, spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")).verdicts()) == words
+    assert packing.pack(df).agg(F.sum("length")).first()[0] == sum(r.doc_tokens for r in packing.pack(df).where("start = 0").collect())
+    classes = {r.doc_id: r.component_id for r in ngram_join.near_duplicate_classes(df.where("doc_id < 2 OR doc_id > 2"), 3, 90, 100).collect()}
+    assert classes == {0: 0, 1: 1, 3: 3, 4: 0, 5: 1}
+    assert len({r.fingerprint for r in fingerprints.edit_fingerprints(df.where("doc_id IN (0, 4)")).collect()}) == 1
+
+
+def test_archives_below_a_folder(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://{i}", "z" * 200 + str(i)) for i in range(6)], "page_id long, url string, html string")
+    warc.write_warc(pages.where("page_id < 3"), str(tmp_path / "a" / "b"))
+    warc.write_warc(pages.where("page_id >= 3"), str(tmp_path / "c"), compression="gzip")
+    assert warc.read_warc(spark, str(tmp_path)).count() == 6
+    assert warc.read_warc(spark, str(tmp_path), payload="none").where("target_uri = 'http://4'").count() == 1
