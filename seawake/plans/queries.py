@@ -576,7 +576,7 @@ def tsspl_predict(spark, sf_dir):
     from ..models.lstm import TSSPL
 
     targets, history = _track_targets(spark, sf_dir)
-    return TSSPL(history, hidden_size=16, n_epochs=2, max_windows=2000).predict(targets, 3, exclude_own=True)
+    return TSSPL(history).predict(targets, 3, exclude_own=True)
 
 
 @query()

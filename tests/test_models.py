@@ -45,6 +45,43 @@ def test_lstm_gradients_and_shapes():
             model(bad)
 
 
+@pytest.mark.parametrize("layers", [1, 2])
+def test_lstm_gradients_of_whole_layers(layers):
+    rng = np.random.default_rng(3)
+    model, x, y = SpatialLSTM(5, layers), rng.normal(size=(7, 4, 2)), rng.normal(size=(7, 2))
+    loss = square(model(x) - y)
+    loss.backward()
+    want = [p.grad for p in model.parameters()]
+    assert model.gradients(x, y) == pytest.approx(float(loss.data), abs=1e-12)
+    assert all(np.allclose(a, p.grad, atol=1e-12) for a, p in zip(want, model.parameters(), strict=True))
+    assert model.gradients(x.astype("f"), y.astype("f")) == pytest.approx(float(loss.data), rel=1e-5)
+
+
+def test_lstm_fit_table(spark):
+    rng = np.random.default_rng(4)
+    rows = rng.normal(size=(300, 10)) * 0.3
+    rows[:, -2:] = rows[:, 6:8] * 0.5  # the target follows from the last step
+    names = [f"x{i}" for i in range(10)]
+    table = spark.createDataFrame(rows.tolist(), names)
+    one = table.coalesce(1)
+    model, plain = SpatialLSTM(8), SpatialLSTM(8)
+    losses = model.fit_table(one, 3, 0.01)
+    x, y, adam, want = rows[:, :-2].reshape(-1, 4, 2).astype("f"), rows[:, -2:].astype("f"), Adam(plain.parameters(), 0.01), []
+    for epoch in range(3):
+        want.append(np.mean(plain._pass(adam, x, y, np.random.default_rng((0, epoch)).permutation(300), 32)))
+    assert np.allclose(losses, want, atol=1e-6)
+    assert all(np.allclose(a.data, b.data, atol=1e-6) for a, b in zip(model.parameters(), plain.parameters(), strict=True))
+    parts = table.repartition(5)
+    dealt, again = SpatialLSTM(8), SpatialLSTM(8)
+    losses = dealt.fit_table(parts, 12, 0.01)
+    assert losses[-1] < 0.5 * losses[0] and losses == again.fit_table(parts, 12, 0.01)
+    assert all(np.array_equal(a.data, b.data) for a, b in zip(dealt.parameters(), again.parameters(), strict=True))
+    with pytest.raises(ValueError, match="no windows"):
+        SpatialLSTM(8).fit_table(table.limit(0), 1, 0.01)
+    with pytest.raises(ValueError, match="two numbers"):
+        SpatialLSTM(8).fit_table(table.drop("x0"), 1, 0.01)
+
+
 def test_transformer_gradients():
     model = TrajectoryTransformer(8, 2, 1, 1, 16, 0.0, 10)
     check_gradients(model, np.random.default_rng(2).normal(size=(2, 5, 6)), square)
