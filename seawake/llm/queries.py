@@ -150,7 +150,50 @@ def _rules_sql() -> str:
     """
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _components_sql(k: int, num: int, den: int) -> str:
+    """All pairs of different shingle sets that share a shingle, and the closure of their links. It expects one row for each doc_id."""
+    return f"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_SPACE}+') AS ws FROM documents),
+        s AS (
+            SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) >= {k} THEN list_transform(range(1, len(ws) - {k - 2}), lambda i: array_to_string(ws[i:i + {k - 1}], ' '))
+                                                        WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END)) AS shingles FROM w
+        ),
+        c AS (SELECT doc_id, shingles, len(shingles) AS n, CASE WHEN len(shingles) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY shingles) END AS class FROM s),
+        x AS (SELECT class, n, unnest(shingles) AS shingle FROM c WHERE doc_id = class),
+        l AS (
+            SELECT a.class AS u, b.class AS v FROM x a JOIN x b ON a.shingle = b.shingle AND a.class < b.class
+            GROUP BY a.class, b.class, a.n, b.n HAVING {den} * count(*) >= {num} * (a.n + b.n - count(*))
+        ),
+        e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+        reached(class, other) AS (SELECT class, class FROM c UNION SELECT r.class, e.v FROM reached r JOIN e ON e.u = r.other),
+        m AS (SELECT class, min(other) AS least FROM reached GROUP BY class)
+        SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, CAST(least AS BIGINT) AS component_id FROM c JOIN m ON m.class = c.class
+    """
+
+
+def _repeats_sql(window: int) -> str:
+    """Every window's words as they are, and how often they start anywhere. It expects one row for each doc_id."""
+    return f"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACE}+') AS ws FROM documents),
+        t AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+        g AS (
+            SELECT doc_id, i, word, CASE WHEN count(*) OVER frame = {window} THEN string_agg(word, ' ') OVER frame END AS words FROM t
+            WINDOW frame AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {window - 1} FOLLOWING)
+        ),
+        r AS (SELECT doc_id, i, word, CASE WHEN words IS NOT NULL AND count(*) OVER (PARTITION BY words) > 1 THEN 1 ELSE 0 END AS again FROM g),
+        v AS (SELECT doc_id, i, word, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW) AS gone FROM r),
+        k AS (SELECT doc_id, count(*) AS n_words, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM v GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_words, 0) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_ngram_jaccard_join": _components_sql(3, 90, 100),
+    "op8_substring_dedup": _repeats_sql(35),
     "op3_license_scan": _license_sql(),
     "op6_quality_rules": _rules_sql(),
     "op1_warc": """
