@@ -527,16 +527,30 @@ def _az(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     return _pmod(f"degrees(atan2(sin(radians({lon2} - {lon1})) * cos(radians({lat2})), cos(radians({lat1})) * sin(radians({lat2})) - sin(radians({lat1})) * cos(radians({lat2})) * cos(radians({lon2} - {lon1})))) + 360", "360.0e0")
 
 
-@query(f"""{_NEXT}, tg AS (SELECT mmsi AS target_id, lat, lon, sog, cog FROM nx WHERE n_seq IS NULL), hs AS (SELECT * FROM nx WHERE n_seq IS NOT NULL),
-    sc AS (SELECT t.target_id, h.mmsi AS traj_id, h.pos, 0.6e0 * ({_hav('t.lat', 't.lon', 'h.lat', 'h.lon')} / 100) + 0.2e0 * (abs(t.sog - h.sog) / 30) + 0.2e0 * (least(abs(t.cog - h.cog), 360 - abs(t.cog - h.cog)) / 180) AS score
-           FROM tg t JOIN hs h ON h.mmsi <> t.target_id AND abs({_az('t.lat', 't.lon', 'h.n_lat', 'h.n_lon')} - {_az('h.lat', 'h.lon', 'h.n_lat', 'h.n_lon')}) <= 22.5e0)
+_SEARCHED = f"""{_NEXT}, hs AS (SELECT * FROM nx WHERE n_seq IS NOT NULL),
+    t0 AS (SELECT mmsi AS target_id, lat, lon, sog, cog FROM nx WHERE n_seq IS NULL)"""
+
+
+def _scored(targets: str) -> str:
+    """Each target with every point of others that keeps the course."""
+    return f"""SELECT t.target_id, t.lat, t.lon, h.mmsi AS traj_id, h.pos, h.lat AS h_lat, h.lon AS h_lon, h.n_lat, h.n_lon, h.n_sog, h.n_cog, 0.6e0 * ({_hav('t.lat', 't.lon', 'h.lat', 'h.lon')} / 100) + 0.2e0 * (abs(t.sog - h.sog) / 30) + 0.2e0 * (least(abs(t.cog - h.cog), 360 - abs(t.cog - h.cog)) / 180) AS score
+           FROM {targets} t JOIN hs h ON h.mmsi <> t.target_id AND abs({_az('t.lat', 't.lon', 'h.n_lat', 'h.n_lon')} - {_az('h.lat', 'h.lon', 'h.n_lat', 'h.n_lon')}) <= 22.5e0"""
+
+
+def _stepped(step: int) -> str:
+    """The targets after a step: where the best point goes on, kept at its distance."""
+    best = f"SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY score, traj_id, pos) AS place FROM ({_scored(f't{step - 1}')})"
+    return f"t{step} AS (SELECT target_id, n_lat + lat - h_lat AS lat, n_lon + lon - h_lon AS lon, n_sog AS sog, n_cog AS cog, {step} AS step, traj_id, pos FROM ({best}) WHERE place = 1)"
+
+
+@query(f"""{_SEARCHED}, sc AS ({_scored("t0")})
     SELECT target_id, arg_min(traj_id, (score, traj_id, pos)) AS traj_id, arg_min(pos, (score, traj_id, pos)) AS pos, round(min(score), 6) AS score FROM sc GROUP BY 1""")
 def pssp_nearest_point(spark, sf_dir):
     found = search.nearest_points(_point_targets(spark, sf_dir), search.with_successors(_history(spark, sf_dir)), exclude_own=True)
     return found.select("target_id", "traj_id", "pos", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(_SEARCHED + "".join(f", {_stepped(i)}" for i in (1, 2, 3)) + " UNION ALL ".join(f" SELECT target_id, step, lat, lon, traj_id, CAST(pos AS INTEGER) AS pos FROM t{i}" for i in (1, 2, 3)))
 def pssp_predict(spark, sf_dir):
     return search.PSSP(_history(spark, sf_dir)).predict(_point_targets(spark, sf_dir), 3, exclude_own=True)
 
