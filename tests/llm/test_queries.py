@@ -20,7 +20,7 @@ def entry():
     return __spark_entry__
 
 
-@pytest.mark.parametrize("name", ["op1_warc", "op3_license_scan", "op6_quality_rules", "op10_source_mixing"])
+@pytest.mark.parametrize("name", ["op1_warc", "op3_license_scan", "op4_ngram_jaccard_join", "op6_quality_rules", "op8_substring_dedup", "op10_source_mixing"])
 def test_query_equals_sql(spark, small, oracle, entry, name):
     got = entry.queries()[name](spark, small).toArrow()
     want = oracle(entry.oracle_sql()[name])
