@@ -55,3 +55,17 @@ def test_window_sums_with_holes(spark):
 def test_pair_windows_shuffles_no_pair(spark, small):
     plan = plan_of(entry.queries()["pair_windows"](spark, small))
     assert "CartesianProduct" in plan and "hashpartitioning(i" not in plan and "Window [collect_list" not in plan
+
+
+@pytest.mark.parametrize("holes", [False, True])
+@pytest.mark.parametrize("length", [1, 4])
+def test_difference_sums(spark, length, holes):
+    df = tracks(spark, holes)
+    want = long_form(df, length).groupBy("i", "j").agg(F.count("*"), F.sum("dlat"), F.sum("dlon"))
+    assert rows(pairs.difference_sums(df, length)) == rows(want)
+
+
+@pytest.mark.parametrize("name", ["pair_diffs"])
+def test_pairs_are_not_shuffled(spark, small, name):
+    plan = plan_of(entry.queries()[name](spark, small))
+    assert "CartesianProduct" in plan and "hashpartitioning(i" not in plan
