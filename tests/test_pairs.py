@@ -65,7 +65,23 @@ def test_difference_sums(spark, length, holes):
     assert rows(pairs.difference_sums(df, length)) == rows(want)
 
 
-@pytest.mark.parametrize("name", ["pair_diffs"])
+@pytest.mark.parametrize("holes", [False, True])
+@pytest.mark.parametrize("length", [1, 4])
+def test_scaled_extremes(spark, length, holes):
+    df = tracks(spark, holes)
+    d = long_form(df, length)
+    assert rows(pairs.fit_minmax(df, length)) == rows(features.fit_minmax(d))
+    want = features.scale_minmax(d, features.fit_minmax(d)).groupBy("i", "j").agg(F.min("dlat"), F.max("dlon"))
+    assert rows(features.scale_minmax(pairs.difference_extremes(df, length), pairs.fit_minmax(df, length))) == rows(want)
+
+
+def test_extremes_of_equal_tracks(spark):
+    df = spark.createDataFrame([(t, [(1.0, 2.0)] * 4) for t in (1, 2)], f"traj_id long, {POINTS}")
+    assert rows(pairs.fit_minmax(df, 1)) == [(0.0, 1.0, 0.0, 1.0)]
+    assert rows(pairs.fit_minmax(df.where("traj_id = 1"), 1)) == [(None, None, None, None)]
+
+
+@pytest.mark.parametrize("name", ["pair_diffs", "minmax_scaled_diffs"])
 def test_pairs_are_not_shuffled(spark, small, name):
     plan = plan_of(entry.queries()[name](spark, small))
     assert "CartesianProduct" in plan and "hashpartitioning(i" not in plan
