@@ -85,3 +85,15 @@ def test_extremes_of_equal_tracks(spark):
 def test_pairs_are_not_shuffled(spark, small, name):
     plan = plan_of(entry.queries()[name](spark, small))
     assert "CartesianProduct" in plan and "hashpartitioning(i" not in plan
+
+
+@pytest.mark.parametrize("length", [1, 3])
+def test_scaled_windows(spark, length):
+    """Every window of the long form, and none is written."""
+    df = tracks(spark)
+    d = long_form(df, length)
+    scale = features.fit_minmax(d).first().asDict()
+    steps = [F.col("seq")[i] for i in range(length)] + [F.col("target")]
+    want = features.pair_windows(features.scale_minmax(d, features.fit_minmax(d)), length).select(*(s[c] for s in steps for c in ("dlat", "dlon")))
+    got = pairs.scaled_windows(df, length, scale)
+    assert rows(got) == rows(want) and pairs.count_windows(df, length) == want.count() and "hashpartitioning(i" not in plan_of(got)
