@@ -82,6 +82,34 @@ def test_lstm_fit_table(spark):
         SpatialLSTM(8).fit_table(table.drop("x0"), 1, 0.01)
 
 
+def test_weighted_gradients():
+    rng = np.random.default_rng(6)
+    model, x, y, w = SpatialLSTM(5), rng.normal(size=(7, 4, 2)), rng.normal(size=(7, 2)), rng.uniform(size=7)
+    d = model(x) - y
+    loss = (d * d * w[:, None]).mean()
+    loss.backward()
+    want = [p.grad for p in model.parameters()]
+    assert model.gradients(x, y, w) == pytest.approx(float(loss.data), abs=1e-12)
+    assert all(np.allclose(a, p.grad, atol=1e-12) for a, p in zip(want, model.parameters(), strict=True))
+
+
+def test_lstm_fit_table_of_counted_windows(spark):
+    """A window with its number trains as its copies do."""
+    rng = np.random.default_rng(4)
+    rows, times = rng.normal(size=(40, 10)) * 0.3, rng.integers(1, 9, 40)
+    rows[:, -2:] = rows[:, 6:8] * 0.5
+    names = [f"x{i}" for i in range(10)]
+    counted = spark.createDataFrame([(*map(float, r), int(n)) for r, n in zip(rows, times, strict=True)], [*names, "n"]).coalesce(1)
+    copies = spark.createDataFrame(np.repeat(rows, times, axis=0).tolist(), names).coalesce(1)
+    one, other = SpatialLSTM(8), SpatialLSTM(8)
+    # Copies of weight 1, in the same order: the same training.
+    assert np.allclose(one.fit_table(counted, 3, 0.01, a_row=1.0), other.fit_table(copies, 3, 0.01), atol=1e-9)
+    assert all(np.allclose(a.data, b.data, atol=1e-9) for a, b in zip(one.parameters(), other.parameters(), strict=True))
+    mean = float(times.mean())
+    losses = SpatialLSTM(8).fit_table(counted, 40, 0.01, a_row=mean)
+    assert losses[-1] < 0.2 * losses[0]
+
+
 def test_transformer_gradients():
     model = TrajectoryTransformer(8, 2, 1, 1, 16, 0.0, 10)
     check_gradients(model, np.random.default_rng(2).normal(size=(2, 5, 6)), square)
@@ -186,3 +214,14 @@ def test_tsspl(spark):
     with pytest.raises(ValueError, match="no two"):
         TSSPL(db(spark, west[:3], north[:3]))
     assert history.select(F.size("points").alias("n")).count() == 2
+
+
+def test_tsspl_trains_equal_windows_once(spark, monkeypatch):
+    """Twenty copies of a pair make 400 times the windows, and the same rows to train on."""
+    west = [(48.0, -125 - i * 0.25, 4, 270) for i in range(20)]
+    north = [(48 + i * 0.25, -125.0, 12, 0) for i in range(20)]
+    trained = []
+    fit = SpatialLSTM.fit_table
+    monkeypatch.setattr(SpatialLSTM, "fit_table", lambda self, windows, *a, **b: trained.append((windows.count(), windows.agg({"n": "sum"}).first()[0])) or fit(self, windows, *a, **b))
+    TSSPL(db(spark, *[west, north] * 20), n_epochs=1, hidden_size=4)
+    assert trained == [(31, 40 * 39 * 15)]

@@ -97,3 +97,14 @@ def test_scaled_windows(spark, length):
     want = features.pair_windows(features.scale_minmax(d, features.fit_minmax(d)), length).select(*(s[c] for s in steps for c in ("dlat", "dlon")))
     got = pairs.scaled_windows(df, length, scale)
     assert rows(got) == rows(want) and pairs.count_windows(df, length) == want.count() and "hashpartitioning(i" not in plan_of(got)
+
+
+@pytest.mark.parametrize("length", [1, 3])
+def test_counted_windows(spark, length):
+    """Every window of every pair, equal ones counted."""
+    df = tracks(spark).unionAll(tracks(spark).selectExpr("traj_id + 100", "points"))
+    scale = features.fit_minmax(long_form(df, length)).first().asDict()
+    every = pairs.scaled_windows(df, length, scale)
+    want = every.select(*(F.col(c).cast("float").alias(c) for c in every.columns)).groupBy(*every.columns).agg(F.count("*"))
+    got = rows(pairs.counted_windows(df, length, scale))
+    assert got == rows(want) and sum(r[-1] for r in got) == pairs.count_windows(df, length) > len(got)
