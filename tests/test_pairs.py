@@ -1,9 +1,11 @@
 """Pairs by blocks give what the long table of differences gives, and write no pair on the way."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from seawake.functions import encode
 from seawake.operators import features, pairs
 
 POINTS = "points array<struct<lat:double,lon:double>>"
@@ -99,6 +101,22 @@ def test_scaled_windows(spark, length):
     assert rows(got) == rows(want) and pairs.count_windows(df, length) == want.count() and "hashpartitioning(i" not in plan_of(got)
 
 
+@pytest.mark.parametrize("digits", [0, 4, 6])
+def test_rounded_is_round(spark, digits):
+    """To the bit, next to halves too, and without decimals in the usual case."""
+    rng = np.random.default_rng(1)
+    halves = (rng.integers(-(10**7), 10**7, 3000) + 0.5) / 10.0**digits
+    values = [*halves, *np.nextafter(halves, np.inf), *np.nextafter(halves, -np.inf), *rng.normal(0, 100, 3000), *rng.normal(0, 1e-6, 100), *rng.normal(0, 1e10, 500), *rng.normal(0, 1e17, 100)]
+    values += [0.0, -0.0, -1e-9, 1e300, -1e300, float("inf"), float("-inf"), float("nan"), 5e-324, 0.5, 1.5, 2.5, -0.5, 1.0000005, None]
+    df = spark.createDataFrame([(None if v is None else float(v),) for v in values], "x double").select("x", encode.rounded(F.col("x"), digits).alias("got"), F.round("x", digits).alias("want"))
+    assert df.count() == len(values) and df.where("NOT (hex(cast(got AS string)) <=> hex(cast(want AS string)))").collect() == []
+
+
+@pytest.mark.parametrize("name", ["minmax_scaled_diffs"])
+def test_pair_queries_round_by_doubles(spark, small, name):
+    assert "rint" in plan_of(entry.queries()[name](spark, small)).lower()
+
+
 @pytest.mark.parametrize("length", [1, 3])
 def test_counted_windows(spark, length):
     """Every window of every pair, equal ones counted."""
