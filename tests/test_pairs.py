@@ -1,6 +1,7 @@
 """Pairs by blocks give what the long table of differences gives, and write no pair on the way."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,11 +113,23 @@ def test_rounded_is_round(spark, digits):
     assert df.count() == len(values) and df.where("NOT (hex(cast(got AS string)) <=> hex(cast(want AS string)))").collect() == []
 
 
-@pytest.mark.parametrize("name", ["minmax_scaled_diffs"])
+@pytest.mark.parametrize("name", ["pair_windows", "minmax_scaled_diffs"])
 def test_pair_queries_round_by_doubles(spark, small, name):
     assert "rint" in plan_of(entry.queries()[name](spark, small)).lower()
 
 
+def test_running_sums_of_a_block_are_made_once(spark, monkeypatch):
+    """However many turns a pair of blocks takes."""
+    monkeypatch.setattr(pairs, "PAIRS_A_TURN", 4)
+    monkeypatch.setattr(pairs, "map_blocks", lambda trajectories, length, f, *a, **b: f)
+    t = pa.StructArray.from_arrays([pa.array(range(9)), *[pa.array([[float(i * k) for k in range(9)] for i in range(9)])] * 2], names=["id", "lat", "lon"])
+    block, made = pairs.Block(t), []
+    cumsum = np.cumsum
+    monkeypatch.setattr(np, "cumsum", lambda *a, **b: made.append(1) or cumsum(*a, **b))
+    turns = list(pairs.window_sums(None, 2)(block, block))
+    assert len(turns) > 4 and sum(len(x[0]) for x in turns) == 72 and len(made) == 3
+
+
 @pytest.mark.parametrize("length", [1, 3])
 def test_counted_windows(spark, length):
     """Every window of every pair, equal ones counted."""
