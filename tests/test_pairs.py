@@ -113,7 +113,7 @@ def test_rounded_is_round(spark, digits):
     assert df.count() == len(values) and df.where("NOT (hex(cast(got AS string)) <=> hex(cast(want AS string)))").collect() == []
 
 
-@pytest.mark.parametrize("name", ["pair_windows", "minmax_scaled_diffs"])
+@pytest.mark.parametrize("name", ["pair_diffs", "pair_windows", "minmax_scaled_diffs"])
 def test_pair_queries_round_by_doubles(spark, small, name):
     assert "rint" in plan_of(entry.queries()[name](spark, small)).lower()
 
