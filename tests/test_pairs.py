@@ -139,3 +139,14 @@ def test_counted_windows(spark, length):
     want = every.select(*(F.col(c).cast("float").alias(c) for c in every.columns)).groupBy(*every.columns).agg(F.count("*"))
     got = rows(pairs.counted_windows(df, length, scale))
     assert got == rows(want) and sum(r[-1] for r in got) == pairs.count_windows(df, length) > len(got)
+
+
+def test_blocks_by_place_are_few(spark):
+    """Many shuffle partitions do not part the windows that could be counted together."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 400)
+    try:
+        found = pairs.map_blocks(tracks(spark), 1, lambda a, b: iter(()), "i long", by_place=True)
+        assert found.rdd.getNumPartitions() <= 6 * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
